@@ -1,14 +1,16 @@
 """Near-duplicates by bottom-k sketches from one hash function.
 
 Documents with the same set of word shingles are one class. A class keeps the k least hashes of its set (all, if it
-has no more). Inverted lists of retained values give the candidates:
-
-* two sets of the wanted similarity share at least c retained values, so it is enough to meet in one of the
-  k - c + 1 rarest; values that stand in one class only are dropped before anything else. For sets that fit into
-  sketches c is exact; else it lies six standard deviations under the mean (a miss: under 1e-8 per pair).
-* within a list each class is compared with the list's *leader*, the class with most shared values, so a list of n
+has no more). Inverted lists of retained values give the candidates, in two steps with a small and a large k: the
+small one finds the few classes that can have a partner at all, the large one, for these classes only, their pairs.
+
+* Two sets of the wanted similarity share at least c retained values, so it is enough to meet in one of the k - c + 1
+  rarest; values that stand in one class only are dropped before anything else. For sets that fit into sketches c is
+  exact; else it lies six standard deviations under the mean (a miss: under 1e-8 per pair).
+* Values are ordered by rarity, and a pair that meets at places i and j can share no more than what follows in both.
+* Within a list each class is compared with the list's *leader*, the class with most shared values, so a list of n
   classes gives n - 1 pairs. What the leaders link is one component. Only pairs of a list that lie in different
-  components after that are compared one by one, again in the rare lists and with fitting sizes.
+  components after that are compared one by one.
 
 A pair's similarity is estimated from the sketch of the union first; pairs within six standard deviations of the
 threshold are verified on the full sets.
@@ -17,7 +19,7 @@ threshold are verified on the full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, floor, sqrt
+from math import floor, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,8 @@ from . import scratch
 from .components import components
 from .text import SPACED, Runs, mix, repeated, signed, slices, word_hashes, words
 
-K = 64
+#: Sizes of the small and the large sketch.
+K, FINE = 64, 1024
 SIGMAS = 6
 
 
@@ -70,6 +73,49 @@ def _sketches(width: int, k: int):
     return run
 
 
+def _fine(width: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch, texts in slices(whole):
+                doc, hashes = _shingles(texts, width)
+                first = np.searchsorted(doc, np.arange(len(texts) + 1))
+                at = np.flatnonzero(np.arange(len(doc)) - first[doc] < k) if len(doc) else np.empty(0, np.int64)
+                owner = doc[at]
+                yield pa.RecordBatch.from_arrays([repeated(batch.column("doc_id"), owner), pa.array(np.diff(first)[owner], pa.int32()), signed(hashes[at] >> np.uint64(1))], ["c", "n", "v"])
+
+    return run
+
+
+def _hopeful(num: int, den: int, k: int):
+    """Keep the pairs whose similarity may reach num / den by the sketch of their union."""
+    t = num / den
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a_sketch"), batch.column("b_sketch")
+            sizes = np.diff(a.offsets.to_numpy()), np.diff(b.offsets.to_numpy())
+            pair = np.concatenate([np.repeat(np.arange(len(batch)), n) for n in sizes])
+            value = np.concatenate([a.flatten().to_numpy(), b.flatten().to_numpy()])
+            order = np.lexsort((value, pair))
+            pair, value = pair[order], value[order]
+            twice = np.zeros(len(pair), bool)
+            twice[1:] = (pair[1:] == pair[:-1]) & (value[1:] == value[:-1])
+            # rank of each value in its pair's union; a value's second copy has the rank of the first
+            distinct = np.cumsum(~twice)
+            union = np.bincount(pair[~twice], minlength=len(batch))
+            start = np.concatenate([[0], np.cumsum(union)])[:-1]
+            rank = distinct - 1 - start[pair]
+            whole = (batch.column("a_n").to_numpy() <= k) & (batch.column("b_n").to_numpy() <= k)
+            m = np.where(whole, union, np.minimum(union, k))
+            shared = np.bincount(pair[twice & (rank < m[pair])], minlength=len(batch))
+            slack = SIGMAS * np.sqrt(t * (1 - t) / np.maximum(m, 1))
+            keep = np.where(whole, shared * den >= union * num, shared >= (t - slack) * m)
+            places = np.flatnonzero(keep)
+            yield pa.RecordBatch.from_arrays([repeated(batch.column(x), places) for x in "ab"], ["a", "b"])
+
+    return run
+
+
 def _alike(width: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[bytes | None, np.ndarray] = None, np.empty(0)
@@ -100,26 +146,37 @@ def _alike(width: int, num: int, den: int):
     return run
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int, k: int, label: str) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int, k: int) -> DataFrame:
     """Those of the pairs (a, b) that are alike: by the sketch of the union, then on full sets."""
-    t = num / den
     side = lambda x: sketches.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    known = pairs.join(side("a"), "a").join(side("b"), "b")
-    known = known.where(F.least("a_n", "b_n") * den >= F.greatest("a_n", "b_n") * num)
-    known = known.withColumn("both", F.array_intersect("a_sketch", "b_sketch")).withColumn("all", F.array_union("a_sketch", "b_sketch"))
-    known = known.withColumn("m", F.least(F.lit(k), F.size("all"))).withColumn("edge", F.expr("element_at(array_sort(all), m)"))
-    estimate = F.expr("size(filter(both, x -> x <= edge))") / F.col("m")
-    whole = (F.col("a_n") <= k) & (F.col("b_n") <= k)
-    hopeful = F.when(whole, F.size("both") * den >= F.size("all") * num).otherwise(estimate >= t - SIGMAS * sqrt(t * (1 - t) / k))
-    likely = scratch.table(known.where(hopeful).select("a", "b"), f"likely-{label}")
-    named = likely.select("a").union(likely.select("b")).distinct().withColumnRenamed("a", "c")
-    needed = scratch.table(texts.join(named, texts.doc_id == named.c, "left_semi"), f"texts-{label}")
-    left = likely.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    both_texts = left.join(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    return both_texts.mapInArrow(_alike(width, num, den), "a long, b long").distinct()
-
-
-def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k: int = K) -> DataFrame:
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_hopeful(num, den, k), "a long, b long")
+    left = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
+    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+    return both.mapInArrow(_alike(width, num, den), "a long, b long").distinct()
+
+
+def _rarest(entries: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """entries: c, n, v. Returns c, n, v, at, rank: the shared values among a class's rarest ones in which it must meet
+    any partner, their place in the order of rarity, and how many of its values are shared."""
+    t = num / den
+    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    wide = k - _least(t, k) + 1
+    # n - ceil(t n) + 1 of the n values if no partner's sketch is cut, else `wide` of the min(n, k) values
+    needed = F.when(F.col("n") <= floor(t * k), F.col("n") - F.ceil(F.col("n") * num / den) + 1).otherwise(F.lit(wide))
+    return (
+        entries.join(shared, "v").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+        .withColumn("alone", F.least("n", F.lit(k)) - F.size("vs")).withColumn("left", (needed - F.col("alone")).cast("int")).where("left > 0")
+        .select("c", "n", "alone", F.size("vs").alias("rank"), F.posexplode(F.expr("slice(vs, 1, left).v")).alias("at", "v"))
+        .select("c", "n", "v", (F.col("alone") + F.col("at")).alias("at"), "rank")
+    )
+
+
+def _least(t: float, k: int) -> int:
+    """Retained values that two sets of similarity t share at least, if their sketches are cut."""
+    return floor((t - SIGMAS * sqrt(t * (1 - t) / k)) * k)
+
+
+def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k: int = K, fine: int = FINE) -> DataFrame:
     """Group documents whose sets of word shingles have a Jaccard similarity of at least num / den, and what they reach.
 
     docs: doc_id (long) and text; other columns are not read. A-Z count as a-z; words are runs of bytes other than
@@ -135,42 +192,41 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     rows = docs.select("doc_id", "text")
     made = scratch.table(rows.mapInArrow(_sketches(shingle, k), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     usable = made.where("doc_id is not null and n > 0")
-    classes = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c"))
-    classes = scratch.table(classes, "classes")
+    classes = scratch.table(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c")), "classes")
     # one row of each class: that of its least doc_id
-    held = usable.join(classes, ["s1", "s2"]).where("doc_id = c").select("c", "n", "sketch", "s1", "s2").dropDuplicates(["c", "s1"])
-    held = scratch.table(held.select("c", "n", "sketch"), "held")
-
-    entries = held.select("c", "n", F.explode("sketch").alias("v"))
-    shared = entries.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    exact_up_to = floor(t * k)
-    wide = k - floor((t - SIGMAS * sqrt(t * (1 - t) / k)) * k) + 1
-    # n small: n - ceil(t n) + 1 of the n values; else `wide` of the min(n, k) values
-    rarest = F.when(F.col("n") <= exact_up_to, F.col("n") - F.ceil(F.col("n") * num / den) + 1).otherwise(F.lit(wide))
-    lists = (
-        entries.join(shared, "v").groupBy("c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-        .withColumn("left", rarest - (F.least("n", F.lit(k)) - F.size("vs"))).where("left > 0")
-        .select("c", "n", F.size("vs").alias("rank"), F.explode(F.expr("slice(vs, 1, int(left)).v")).alias("v"))
-    )
-    lists = scratch.table(lists, "lists")
-    leaders = lists.groupBy("v").agg(F.max(F.struct("rank", "n", "c")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", F.col("top.c").alias("b"), F.col("top.n").alias("b_n"))
-    fits = lambda x, y: (x * den >= y * num) & (y * den >= x * num)
-    stars = lists.join(leaders, "v").where((F.col("c") != F.col("b")) & fits(F.col("n"), F.col("b_n"))).select(F.col("c").alias("a"), "b").distinct()
-    stars = scratch.table(stars, "stars")
-    links = scratch.table(_verified(stars, held, rows, shingle, num, den, k, "stars"), "links")
+    held = usable.join(classes.withColumnRenamed("c", "doc_id"), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("c"), "n", "sketch").dropDuplicates(["c", "n"])
+
+    playing = _rarest(held.select("c", "n", F.explode("sketch").alias("v")), num, den, k).select("c").distinct()
+    held = scratch.table(held.join(playing, "c"), "playing")
+    texts = scratch.table(rows.join(held.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), "texts")
+
+    entries = texts.mapInArrow(_fine(shingle, fine), "c long, n int, v long")
+    lists = scratch.table(_rarest(entries, num, den, fine), "lists")
+
+    def may_be(x: str, y: str):
+        """Whether two classes that meet in a list can be alike, by their sizes and places."""
+        n, m, i, j = (F.col(f"{p}_{q}") for q in ("n", "at") for p in (x, y))
+        whole = (n <= fine) & (m <= fine)
+        least = F.when(whole, F.ceil((n + m) * num / (num + den))).otherwise(F.lit(_least(t, fine)))
+        return (n * den >= m * num) & (m * den >= n * num) & (F.least(F.least(n, F.lit(fine)) - i, F.least(m, F.lit(fine)) - j) >= least)
+
+    side = lambda df, x, *more: df.select("v", *(F.col(c).alias(x if c == "c" else f"{x}_{c}") for c in ("c", "n", "at", *more)))
+    leaders = lists.groupBy("v").agg(F.max(F.struct("rank", "n", "c", "at")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", "top.c", "top.n", "top.at")
+    stars = scratch.table(side(lists, "a").join(side(leaders, "b"), "v").where((F.col("a") != F.col("b")) & may_be("a", "b")).select("a", "b").distinct(), "stars")
+    links = scratch.table(_verified(stars, held, texts, shingle, num, den, k), "links")
     part = components(links)
 
-    placed = lists.join(part.withColumnRenamed("id", "c"), "c", "left").select("v", "c", "n", F.coalesce("component", "c").alias("g"))
+    placed = lists.join(part.withColumnRenamed("id", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     open_lists = placed.groupBy("v").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("v")
-    placed = scratch.table(placed.join(open_lists, "v"), "open")
+    placed = scratch.table(placed.join(open_lists, "v").select("v", "c", "n", "at", "g"), "open")
     # sizes that fit lie in the same or in neighbouring steps of a geometric scale
-    step = F.floor(F.log("n") / F.log(F.lit(den / num * 1.000001))).cast("int")
-    one = placed.select("v", F.col("c").alias("a"), F.col("n").alias("a_n"), F.col("g").alias("a_g"), F.explode(F.array(step, step + 1)).alias("step"))
-    two = placed.select("v", F.col("c").alias("b"), F.col("n").alias("b_n"), F.col("g").alias("b_g"), step.alias("step"))
-    meet = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
-    rest = one.join(two, ["v", "step"]).where(meet & (F.col("a_g") != F.col("b_g")) & fits(F.col("a_n"), F.col("b_n"))).select("a", "b")
-    rest = rest.distinct().join(stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    more = scratch.table(_verified(rest, held, rows, shingle, num, den, k, "rest"), "more")
+    step = F.floor(F.log("a_n") / F.log(F.lit(den / num * 1.000001))).cast("int")
+    one = side(placed, "a", "g").select("*", F.explode(F.array(step, step + 1)).alias("step"))
+    two = side(placed, "a", "g").withColumn("step", step).select("v", "step", *(F.col(f"a{c}").alias(f"b{c}") for c in ("", "_n", "_at", "_g")))
+    ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
+    rest = one.join(two, ["v", "step"]).where(ordered & (F.col("a_g") != F.col("b_g")) & may_be("a", "b")).select("a", "b").distinct()
+    tried = stars.union(stars.select("b", "a"))
+    more = scratch.table(_verified(rest.join(tried, ["a", "b"], "left_anti"), held, texts, shingle, num, den, k), "more")
     if not more.isEmpty():
         part = components(links.union(more))
 
