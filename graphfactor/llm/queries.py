@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import decontaminate, gif, licenses, mixing, neardup, quality, revisits, substring, tokens, urllists
+from . import decontaminate, gif, licenses, mixing, neardup, quality, revisits, scratch, substring, tokens, urllists
 from .oracle import ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -21,7 +21,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring.dedup(_table(spark, sf_dir, "documents"), window=35)
-    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return scratch.few(cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +94,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100)
+    return scratch.few(neardup.groups(_table(spark, sf_dir, "documents"), shingle=3, num=85, den=100))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
