@@ -55,9 +55,10 @@ def normalize(df: DataFrame, config: GraphConfig, key: str | Column, root: str |
 def _within_rows(rows: DataFrame, graph: Graph) -> DataFrame:
     lists = graph.lists
     found = {t: F.array("v") if t == graph.root else F.array_distinct(occurrences(graph, graph.root, t, F.col("v"))) for t in lists}
-    entities = rows.select("root_id", *(x.alias(lists[t]) for t, x in found.items()))
-    place = lambda t, x: (F.array_position(F.col(lists[t]), x) - 1).cast("int")
-    return entities.select("root_id", F.lit(0).alias("root_index"), *(F.transform(lists[t], lambda x: flat_row(graph, t, x, place)).alias(lists[t]) for t in lists))
+    # names of their own: in one select, a list's name would mean the new column
+    entities = rows.select("root_id", *(x.alias(f"values of {lists[t]}") for t, x in found.items()))
+    place = lambda t, x: (F.array_position(F.col(f"`values of {lists[t]}`"), x) - 1).cast("int")
+    return entities.select("root_id", F.lit(0).alias("root_index"), *(F.transform(f"`values of {lists[t]}`", lambda x: flat_row(graph, t, x, place)).alias(lists[t]) for t in lists))
 
 
 def _by_groups(rows: DataFrame, graph: Graph, scope: str) -> Container:
