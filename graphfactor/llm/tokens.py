@@ -11,8 +11,12 @@ ascending doc_id order.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -27,37 +31,90 @@ from .text import slices
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 4000, 64 << 10
 #: Compressed bytes after which a pack is full.
 PACK_BYTES = 1 << 20
-#: Words an encoder remembers before it starts anew.
-_CACHED_WORDS = 400_000
+#: Pieces an encoder remembers before it starts anew.
+_CACHED_PIECES = 500_000
 _PACKS = "shard int, pack int, dict_hash string, width int, doc_ids array<long>, offsets array<long>, n_tokens array<long>, before long, blob binary"
 
 
 class Encoder:
-    """Ids of texts, encoded word by word; words met before are looked up.
+    """Ids of texts, encoded by distinct piece; pieces met before are looked up.
 
     White space always parts words here: the vocabulary's normaliser makes it one space and its pre-tokenizer drops
-    it, so a text's ids are those of its space-separated pieces in a row.
+    it, so a text's ids are those of its space-separated words in a row. A text of ASCII and Latin letters is cut the
+    way the pre-tokenizer cuts it, in lower case; each piece ends with one end-of-word token, so many new pieces are
+    encoded as one text and told apart by these. Any other text (other scripts, combining marks, control and special
+    tokens) is encoded by itself.
     """
 
+    _LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
+    _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\n|[^{_LETTER}0-9\n ]+")
+    _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        pieces, cache = text.split(), self.cache
-        try:
-            return np.frombuffer(b"".join([cache[p] for p in pieces]), np.uint32)
-        except KeyError:
-            pass
-        new = list({p for p in pieces if p not in cache})
-        if len(cache) > _CACHED_WORDS:
-            cache.clear()
-            new = list(set(pieces))
-        encoded = self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)
-        cache.update((p, np.array(e.ids, np.uint32).tobytes()) for p, e in zip(new, encoded, strict=True))
-        return np.frombuffer(b"".join([cache[p] for p in pieces]), np.uint32)
+        self.pieces: dict[str, bytes] = {}
+        kind = json.loads(self.tokenizer.to_str())
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        suffix = kind["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        # the short cut holds for this kind of vocabulary only
+        self.cuts = bool(suffix) and [n.get("type") for n in (kind["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        # spaces, printable ASCII and Latin letters, but no character that a special token begins with
+        taken = {t["content"][0] for t in kind["added_tokens"]}
+        ranges = ((0x20, 0x7F), (0xC0, 0xD7), (0xD8, 0xF7), (0xF8, 0x130), (0x131, 0x180))
+        self.plain = re.compile("[" + re.escape("".join(chr(c) for a, b in ranges for c in range(a, b) if chr(c) not in taken)) + "]*").fullmatch
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        out = []
+        for i in range(0, len(pieces), 4096):
+            part = pieces[i : i + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(part):
+                out += self._alone(part)
+                continue
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        strings = [t.translate(self._SPACES).decode() for t in texts]
+        plain = [self.cuts and self.plain(s) is not None for s in strings]
+        out: list[bytes] = self._alone([s for s, p in zip(strings, plain, strict=True) if not p]) if not all(plain) else []
+        if any(plain):
+            known = self.pieces
+            if len(known) > _CACHED_PIECES:
+                known.clear()
+            # all pieces of all texts in a row; a line feed, of no ids, ends each text
+            known["\n"] = b""
+            row = self._PIECE.findall("\n".join(compress(strings, plain)).lower() + "\n")
+            unknown = list(set(row).difference(known))
+            known.update(zip(unknown, self._together(unknown), strict=True))
+            found = list(map(known.__getitem__, row))
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            stops, raw = np.cumsum(sizes)[sizes == 0].tolist(), b"".join(found)
+            quick = iter([raw[a:b] for a, b in zip([0, *stops], stops, strict=False)])
+            slow = iter(out)
+            out = [next(quick if p else slow) for p in plain]
+        return [np.frombuffer(x, np.uint32) for x in out]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of this Python process: what one task has learned serves the next."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def _serialized(ids: np.ndarray, width: int) -> bytes:
@@ -68,7 +125,7 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, encode = TaskContext.get().partitionId(), Encoder(path)
+        shard, encode = TaskContext.get().partitionId(), encoder(path)
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         dict_hash = hashlib.sha256(dictionary).hexdigest()
         pack, doc_ids, frames, counts, size, before = 0, [], [], [], 0, 0
@@ -81,8 +138,8 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
 
         for whole in batches:
             for batch, texts in slices(whole):
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = np.append(encode(text), np.uint32(end_id))
+                for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode.batch(texts), strict=True):
+                    ids = np.append(found, np.uint32(end_id))
                     frames.append(packer.compress(_serialized(ids, width)))
                     doc_ids.append(doc_id)
                     counts.append(len(ids))
@@ -103,8 +160,7 @@ def train(docs: DataFrame, tokenizer: str, width: int, sample: int = SAMPLE_DOCS
     Empty (no dictionary) if the corpus is too small to train one.
     """
     rows = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).collect()
-    encode = Encoder(tokenizer)
-    samples = [_serialized(encode(r["text"].encode()), width) for r in rows if r["text"].strip()]
+    samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([r["text"].encode() for r in rows if r["text"].strip()])]
     if sum(map(len, samples)) < 16 * 1024 or len(samples) < 50:
         return b""
     try:
