@@ -36,8 +36,17 @@ class Field:
     metadata: Mapping = field(default_factory=dict, compare=False)
 
 
+_BY_NAME = {
+    "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "date": T.DateType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(),
+    "tinyint": T.ByteType(), "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(), "long": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(),
+}
+
+
 def simple(name: str, dtype: str | T.DataType, nullable: bool = True, **metadata) -> Field:
-    return Field(name, T._parse_datatype_string(dtype) if isinstance(dtype, str) else dtype, nullable=nullable, metadata=metadata)
+    """A field of a Spark type, given as such or by name; names of nested types need a running session."""
+    if isinstance(dtype, str):
+        dtype = _BY_NAME.get(dtype) or T._parse_datatype_string(dtype)
+    return Field(name, dtype, nullable=nullable, metadata=metadata)
 
 
 def ref(name: str, target: str, nullable: bool = True, **metadata) -> Field:
