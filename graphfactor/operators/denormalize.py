@@ -10,7 +10,7 @@ from ..container import Container
 from ..plans.analyze import Graph
 from ..plans.catalog import Field, PropKind
 from ..plans.config import ConfigError
-from .values import by_place
+from .values import by_place, only_path
 
 
 def default_of(f: Field) -> Column:
@@ -56,7 +56,11 @@ def denormalize(container: Container, root_zero: bool = False) -> DataFrame:
     for t, name in graph.lists.items():  # leaves first
         at = lambda p, i: F.col(graph.lists[p.target])[i]
         each = lambda p, xs: F.transform(xs, lambda i: F.when(i.isNotNull(), F.col(graph.lists[p.target])[i]))
-        rows = rows.withColumn(name, F.transform(name, lambda x: _object(graph, t, x, at, each)))
+        if only_path(graph, t) is not None:  # one entry at most
+            made = F.array(_object(graph, t, F.col(name)[0], at, each))
+            rows = rows.withColumn(name, F.when(F.size(name) > 0, made))
+        else:
+            rows = rows.withColumn(name, F.transform(name, lambda x: _object(graph, t, x, at, each)))
     index = F.lit(0) if root_zero else F.col("root_index")
     rows = rows.select("root_id", F.col(graph.lists[graph.root])[index].alias("v"))
     return rows.select("root_id", *(F.col("v")[f.name].alias(f.name) for f in graph.config.catalog[graph.root]))

@@ -2,7 +2,7 @@
 
 A root's whole graph lies in its row, and lists are distinct within one root, so the usual plan needs no shuffle: the
 occurrences of a type are gathered in order of a depth-first walk, array_distinct keeps the first of equal values, and
-a reference becomes its value's place in that list. For roots with very long lists, whose comparison within a row
+a reference becomes its value's place in that list. A type that a root can hold one object of needs neither. For roots with very long lists, whose comparison within a row
 grows with the square of the length, and for lists over all roots, the same lists come from groups and windows.
 """
 
@@ -10,13 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..container import Container
 from ..plans.analyze import Graph
 from ..plans.catalog import PropKind
 from ..plans.config import ConfigError, GraphConfig
 from .dense import dense_index
-from .values import flat_row, occurrences, plain, value
+from .values import flat_row, occurrences, only_path, plain, row_schema, value
 
 #: Occurrences of one type in a root up to which "auto" works within the row.
 ROW_LIMIT = 1000
@@ -54,11 +55,25 @@ def normalize(df: DataFrame, config: GraphConfig, key: str | Column, root: str |
 
 def _within_rows(rows: DataFrame, graph: Graph) -> DataFrame:
     lists = graph.lists
-    found = {t: F.array("v") if t == graph.root else F.array_distinct(occurrences(graph, graph.root, t, F.col("v"))) for t in lists}
+    paths = {t: only_path(graph, t) for t in lists}
+    several = [t for t in lists if paths[t] is None]
     # names of their own: in one select, a list's name would mean the new column
-    entities = rows.select("root_id", *(x.alias(f"values of {lists[t]}") for t, x in found.items()))
-    place = lambda t, x: (F.array_position(F.col(f"`values of {lists[t]}`"), x) - 1).cast("int")
-    return entities.select("root_id", F.lit(0).alias("root_index"), *(F.transform(f"`values of {lists[t]}`", lambda x: flat_row(graph, t, x, place)).alias(lists[t]) for t in lists))
+    found = {t: F.array_distinct(occurrences(graph, graph.root, t, F.col("v"))).alias(f"values of {lists[t]}") for t in several}
+    entities = rows.select("root_id", "v", *found.values())
+
+    def place(t: str, x: Column) -> Column:
+        return F.lit(0) if paths[t] is not None else (F.array_position(F.col(f"`values of {lists[t]}`"), x) - 1).cast("int")
+
+    def entries(t: str) -> Column:
+        if paths[t] is None:
+            return F.transform(f"`values of {lists[t]}`", lambda x: flat_row(graph, t, x, place))
+        x = F.col("v")
+        for p in paths[t]:
+            x = x[p.name]
+        none = F.array().cast(T.ArrayType(row_schema(graph, t)))
+        return F.when(x.isNotNull(), F.array(flat_row(graph, t, x, place))).otherwise(none)
+
+    return entities.select("root_id", F.lit(0).alias("root_index"), *(entries(t).alias(lists[t]) for t in lists))
 
 
 def _by_groups(rows: DataFrame, graph: Graph, scope: str) -> Container:

@@ -103,3 +103,16 @@ def row_schema(graph: Graph, name: str) -> T.StructType:
 def by_place(structs: Column, place: str) -> Column:
     """An array of structs in order of an integer field; the other fields need no order (maps have none)."""
     return F.array_sort(structs, lambda a, b: a[place] - b[place])
+
+
+def only_path(graph: Graph, target: str) -> list[Prop] | None:
+    """The references that lead from the root to a type, if there is one way and no collection on it: then a root has
+    one object of the type at most, and its index is 0."""
+    path: list[Prop] = []
+    while target != graph.root:
+        ways = [(n, p) for n in graph.nodes for p in n.links if p.target == target]
+        if len(ways) != 1 or ways[0][1].kind is PropKind.COLLECTION:
+            return None
+        path.insert(0, ways[0][1])
+        target = ways[0][0].name
+    return path
