@@ -26,19 +26,20 @@ def _templates() -> str:
     for tid, (label, text, phrase) in enumerate([(a, b, True) for a, b in licenses.PHRASES] + [(a, b, False) for a, b in licenses.TEMPLATES]):
         w = text.split()
         pairs = [(q, w[q], w[q + 1]) for q in range(len(w) - 1) if phrase or not {w[q], w[q + 1]} <= licenses.COMMON]
-        rows += [f"({tid}, '{label}', {str(phrase).lower()}, {len(pairs)}, {bit}, {q}, '{a}', '{b}')" for bit, (q, a, b) in enumerate(pairs)]
+        rows += [f"({tid}, '{label}', {str(phrase).lower()}, {len(w)}, {len(pairs)}, {bit}, {q}, '{a}', '{b}')" for bit, (q, a, b) in enumerate(pairs)]
     return ", ".join(rows)
 
 
 OP2 = rf"""
 with w as (select doc_id, regexp_extract_all({_LOW}, '{_PLAIN}') as w from documents),
-t(tid, label, phrase, pairs, bit, q, a, b) as (values {_templates()}),
+t(tid, label, phrase, words, pairs, bit, q, a, b) as (values {_templates()}),
 g as (select doc_id, i - 1 as p, w[i] as x, w[i + 1] as y from (select doc_id, w, unnest(range(1, len(w))) as i from w)),
-d as (select doc_id, tid, label, phrase, pairs, p - q as diagonal, bit_or(1::bigint << bit) as found from g join t on x = a and y = b group by all),
+d as (select doc_id, tid, label, phrase, words, pairs, p - q as diagonal, bit_or(1::bigint << bit) as found from g join t on x = a and y = b group by all),
 m as (select *, case when phrase then 1 when diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal) <= {licenses.NEAR} then 0 else 1 end as far from d),
 n as (select *, sum(far) over (partition by doc_id, tid order by diagonal) as band from m),
-s as (select doc_id, label, phrase, bit_count(bit_or(found)) / pairs as share, greatest(min(diagonal), 0) as start from n group by doc_id, tid, label, phrase, pairs, band),
-ok as (select * from s where case when phrase then share = 1 else share >= {licenses.ENOUGH} end),
+s as (select doc_id, label, phrase, bit_count(bit_or(found)) / pairs as share, greatest(min(diagonal), 0) as start, min(diagonal) + words as stop from n group by doc_id, tid, label, phrase, words, pairs, band),
+all_ok as (select * from s where case when phrase then share = 1 else share >= {licenses.ENOUGH} end),
+ok as (select * from all_ok a where phrase or not exists (select 1 from all_ok o where not o.phrase and o.doc_id = a.doc_id and o.share > a.share and o.start < a.stop and a.start < o.stop)),
 x as (select doc_id, count(*) filter (phrase) as n_base, min(start) filter (phrase) as first_word, max(start) filter (phrase) as last_word,
   string_agg(distinct label, ',' order by label) filter (phrase) as base_labels, string_agg(distinct label, ',' order by label) as labels,
   max(case when phrase then 1.0::double else share end) as score from ok group by doc_id)
@@ -102,7 +103,7 @@ b as (select item_id, regexp_extract_all({_LOW}, '{_PLAIN}') as w from benchmark
 k as (select distinct item_id, n, array_to_string(w[i:i+n-1], ' ') as k from (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0)),
 g as (select doc_id, n, i, array_to_string(w[i:i+n-1], ' ') as k from (select doc_id, n, w, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from k) where len(w) >= n)),
 h as (select doc_id, i, g.n, item_id from g join k using (n, k)),
-c as (select doc_id, count(distinct at) as n_hit from (select doc_id, unnest(range(i, i + n)) as at from h) group by doc_id),
+c as (select doc_id, count(distinct place) as n_hit from (select doc_id, unnest(range(i, i + n)) as place from h) group by doc_id),
 x as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as items from h group by doc_id)
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join c using (doc_id) left join x using (doc_id)
@@ -113,8 +114,8 @@ with recursive w as (select doc_id, regexp_extract_all({_LOW}, '{_SPACED}') as w
 s as (select doc_id, case when len(w) >= 3 then list_distinct([array_to_string(w[i:i+2], ' ') for i in range(1, len(w) - 1)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w),
 n as (select doc_id, len(s) as n from s),
 u as (select doc_id, unnest(s) as x from s),
-o as (select a.doc_id as a, b.doc_id as b, count(*) as both from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
-l as (select a, b from o join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * both >= 85 * (na.n + nb.n - both)),
+o as (select a.doc_id as a, b.doc_id as b, count(*) as shared from u a join u b on a.x = b.x and a.doc_id < b.doc_id group by all),
+l as (select a, b from o join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 85 * (na.n + nb.n - shared)),
 e as (select a, b from l union all select b, a from l),
 c as (select doc_id as id, doc_id as g from n union select e.b, c.g from c join e on e.a = c.id)
 select n.doc_id, n.n::bigint as n_shingles, min(g) as component_id, min(g) = n.doc_id as kept from n join c on c.id = n.doc_id group by n.doc_id, n.n
