@@ -1,7 +1,7 @@
 """License scans by diagonal voting, in DataFrame operations.
 
-All rolling word pairs of a text are hashed and joined to the places where they stand in templates (a broadcast of
-fixed size: the templates are constants). A hit at word p of the text and word q of a template votes for the diagonal
+All rolling word pairs of a text are hashed; those that templates have are joined to the places where they stand there
+(a broadcast of fixed size: the templates are constants). A hit at word p of the text and word q of a template votes for the diagonal
 p - q. Votes are gathered per diagonal as a bit per template pair, so repeated hits count once; neighbouring diagonals,
 which insertions and deletions cause, are merged; a span is verified when enough of the template's pairs were found
 word by word. Only hits are shuffled, and one row per document.
@@ -36,7 +36,7 @@ COMMON = frozenset("a and any are as is it may not of or that the this to under
 #: Words by which merged diagonals may differ, and share of a template's pairs that makes a span.
 NEAR, ENOUGH = 3, 0.6
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for the end of a text among its pairs, so that every document comes through the join.
 _END = -7046029254386353131
 
@@ -47,7 +47,7 @@ def text_words(text: str) -> Column:
     lower() changes letters beyond ASCII too, none of which stands in a phrase or template; of them only the Kelvin
     sign would become an ASCII letter, so it is changed into another letter before.
     """
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("ɐ"))), F.lit(_WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("ɐ"))), _BETWEEN), "")
 
 
 def _index(spark: SparkSession, phrases, templates) -> DataFrame:
@@ -57,9 +57,9 @@ def _index(spark: SparkSession, phrases, templates) -> DataFrame:
         pairs = [(q, w[q], w[q + 1]) for q in range(len(w) - 1) if phrase or not {w[q], w[q + 1]} <= COMMON]
         if not 1 <= len(pairs) <= 63:
             raise ValueError(f"a template needs 1 to 63 telling word pairs: {text}")
-        rows += [(tid, label, phrase, len(pairs), bit, q, a, b) for bit, (q, a, b) in enumerate(pairs)]
-    known = spark.createDataFrame(rows, "tid int, label string, phrase boolean, pairs int, bit int, q int, a string, b string")
-    end = spark.range(1).select(F.lit(-1).alias("tid"), F.lit("").alias("label"), F.lit(False).alias("phrase"), F.lit(0).alias("pairs"), F.lit(0).alias("bit"), F.lit(0).alias("q"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(_END).alias("h"))
+        rows += [(tid, label, phrase, len(w), len(pairs), bit, q, a, b) for bit, (q, a, b) in enumerate(pairs)]
+    known = spark.createDataFrame(rows, "tid int, label string, phrase boolean, words int, pairs int, bit int, q int, a string, b string")
+    end = spark.range(1).select(F.lit(-1).alias("tid"), F.lit("").alias("label"), F.lit(False).alias("phrase"), F.lit(0).alias("words"), F.lit(0).alias("pairs"), F.lit(0).alias("bit"), F.lit(0).alias("q"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(_END).alias("h"))
     return known.withColumn("h", F.xxhash64("a", "b")).unionByName(end)
 
 
@@ -67,21 +67,27 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """Find license phrases and templates in every text.
 
     docs: doc_id and text; other columns are not read. Returns one row per row of docs: doc_id, n_words, places (array
-    of label, start: every place of a phrase), spans (array of label, start, share: verified template spans, start
-    by the first merged diagonal), labels (sorted distinct), score (largest share of a span, 1 for a phrase, else 0).
+    of label, start: every place of a phrase), spans (array of label, start, stop, share: verified template spans, by
+    the first merged diagonal and the template's length; one that overlaps another of larger share is left out),
+    labels (sorted distinct), score (largest share of a span, 1 for a phrase, else 0).
 
     Null text counts as empty: no words, no labels, score 0. Null doc_ids are kept. Repeated rows each get their row.
     """
     spark = docs.sparkSession
+    index = _index(spark, phrases, templates)
+    # hashes that no template has are dropped before they become rows; the set is as bounded as the templates
+    known = sorted({r["h"] for r in index.select("h").collect()} - {_END})
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), text_words("text").alias("w"))
-    n = F.size("w")
-    pairs = F.when(n > 1, F.zip_with(F.slice("w", 1, F.greatest(n - 1, F.lit(0))), F.slice("w", 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))).otherwise(F.expr("cast(array() as array<bigint>)"))
-    rows = rows.select("doc_id", "t", "w", F.concat(pairs, F.array(F.lit(_END))).alias("pairs"))
-    rows = rows.select("doc_id", "t", "w", F.posexplode("pairs").alias("p", "h"))
-    hits = rows.join(F.broadcast(_index(spark, phrases, templates)), "h")
-    hits = hits.where((F.col("tid") < 0) | ((F.get("w", F.col("p")) == F.col("a")) & (F.get("w", F.col("p") + 1) == F.col("b"))))
-    votes = hits.select("doc_id", "t", F.size("w").alias("n_words"), "tid", "label", "phrase", "pairs", (F.col("p") - F.col("q")).alias("diagonal"), F.expr("shiftleft(1L, bit)").alias("vote"))
-    key = ["doc_id", "t", "n_words", "tid", "label", "phrase", "pairs"]
+    m = F.greatest(F.size("w") - 1, F.lit(0))
+    rows = rows.select("doc_id", "t", "w", F.zip_with(F.slice("w", 1, m), F.slice("w", 2, m), lambda a, b: F.xxhash64(a, b)).alias("pairs"))
+    placed = F.filter(F.transform("pairs", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isin(known))
+    named = F.transform(placed, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.get("w", x["p"]).alias("x"), F.get("w", x["p"] + 1).alias("y")))
+    end = F.array(F.struct(F.lit(0).alias("p"), F.lit(_END).alias("h"), F.lit("").alias("x"), F.lit("").alias("y")))
+    found = F.when(F.arrays_overlap("pairs", F.array(*map(F.lit, known))), F.concat(named, end)).otherwise(end)
+    rows = rows.select("doc_id", "t", F.size("w").alias("n_words"), F.explode(found).alias("hit")).select("doc_id", "t", "n_words", "hit.*")
+    hits = rows.join(F.broadcast(index), "h").where((F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
+    votes = hits.select("doc_id", "t", "n_words", "tid", "label", "phrase", "words", "pairs", (F.col("p") - F.col("q")).alias("diagonal"), F.expr("shiftleft(1L, bit)").alias("vote"))
+    key = ["doc_id", "t", "n_words", "tid", "label", "phrase", "words", "pairs"]
     diagonals = votes.groupBy(*key, "diagonal").agg(F.bit_or("vote").alias("found"), F.count("*").alias("n"))
 
     order = Window.partitionBy("doc_id", "t", "tid").orderBy("diagonal")
@@ -95,9 +101,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     start = F.greatest("start", F.lit(0)).cast("long").alias("start")
     gathered = spans.groupBy("doc_id", "t", "n_words").agg(
         F.array_sort(F.collect_list(F.when(enough & F.col("phrase"), F.struct("label", start)))).alias("places"),
-        F.array_sort(F.collect_list(F.when(enough & ~F.col("phrase"), F.struct("label", start, share.alias("share"))))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(enough & ~F.col("phrase"), F.struct("label", start, (F.col("start") + F.col("words")).cast("long").alias("stop"), share.alias("share"))))).alias("spans"),
         F.max(F.when(F.col("tid") < 0, F.col("n"))).alias("rows"),
     )
+    # of templates that stand in one place, such as licences that differ in a word, the best one counts
+    beaten = lambda s: F.exists("spans", lambda o: (o["share"] > s["share"]) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
+    gathered = gathered.withColumn("spans", F.filter("spans", lambda s: ~beaten(s)))
     labels = F.array_sort(F.array_distinct(F.concat("places.label", "spans.label")))
     score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0)))
     full = gathered.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "places", "spans", labels.alias("labels"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("one"))
