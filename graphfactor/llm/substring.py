@@ -132,9 +132,10 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     """
     if not 1 <= window < 1 << 15:
         raise ValueError("window must lie between 1 and 32767 words")
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("d"), F.xxhash64("text").alias("t"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("d"), F.xxhash64("text").alias("t"), "text")
     found = rows.select("d", "t", "text").mapInArrow(_find(window), "d long, t long, seed long, phrase long, place long")
-    seeds = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # a table of its own, so that Spark may split the join's partitions of hot seeds
+    seeds = scratch.table(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds")
     found = scratch.table(found.join(seeds, "seed"), "phrases")
 
     phrases = found.groupBy("seed", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one"))
