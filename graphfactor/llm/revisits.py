@@ -49,7 +49,10 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     outcome = F.when(F.col("found").isNull(), "no earlier response").when(same, "resolved").when(~same, "validators differ").otherwise("no validator")
     found = found.select("key", "t", "row", F.col("found.record_id").alias("response_id"), outcome.alias("outcome"))
     stored = records.where("kind = 'response' and record_id is not null").select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), "body").dropDuplicates(["stored_id"])
-    joined = found.withColumn("proved", F.when(F.col("outcome") == "resolved", F.col("response_id"))).join(stored, F.col("proved") == F.col("stored_id"), "left")
+    # revisits that prove nothing meet nothing, and are spread by a key of their own
+    proved = F.col("outcome") == "resolved"
+    found = found.withColumn("proved", proved).withColumn("wanted", F.when(proved, F.col("response_id")).otherwise(F.xxhash64("row.record_id", "key", "t")))
+    joined = found.join(stored.withColumn("stored_too", F.lit(True)), (F.col("wanted") == F.col("stored_id")) & (F.col("proved") == F.col("stored_too")), "left")
     nothing = F.expr("cast(map() as map<string,string>)")
     new = F.map_filter(F.coalesce("row.headers", nothing), lambda k, _: k.isin(*PERMITTED))
     rest = F.map_filter(F.coalesce("stored", nothing), lambda k, _: ~F.array_contains(F.map_keys(new), k))
