@@ -15,7 +15,7 @@ def components(links: DataFrame) -> DataFrame:
     least id; a step shuffles the links once by the larger or smaller end. Each round is written to the shared folder.
     Null ends and loops are dropped; repeated links count once.
     """
-    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges", 1)
     state = None
     while True:
         # large-star: every neighbour above u goes to the least id around u, u included
@@ -25,10 +25,10 @@ def components(links: DataFrame) -> DataFrame:
         # small-star: every neighbour below u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch.table(small, "edges")
+        edges = scratch.table(small, "edges", 1)
         now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return scratch.table(ends.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components")
+    return scratch.table(ends.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components", 1)

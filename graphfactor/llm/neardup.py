@@ -189,7 +189,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     what any of them is like; repeated rows get the same values. Empty table: no rows.
     """
     t = num / den
-    rows = docs.select("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = scratch.table(rows.mapInArrow(_sketches(shingle, k), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     usable = made.where("doc_id is not null and n > 0")
     classes = scratch.table(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c")), "classes")
@@ -212,8 +212,8 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
 
     side = lambda df, x, *more: df.select("v", *(F.col(c).alias(x if c == "c" else f"{x}_{c}") for c in ("c", "n", "at", *more)))
     leaders = lists.groupBy("v").agg(F.max(F.struct("rank", "n", "c", "at")).alias("top"), F.count("*").alias("m")).where("m > 1").select("v", "top.c", "top.n", "top.at")
-    stars = scratch.table(side(lists, "a").join(side(leaders, "b"), "v").where((F.col("a") != F.col("b")) & may_be("a", "b")).select("a", "b").distinct(), "stars")
-    links = scratch.table(_verified(stars, held, texts, shingle, num, den, k), "links")
+    stars = scratch.table(side(lists, "a").join(side(leaders, "b"), "v").where((F.col("a") != F.col("b")) & may_be("a", "b")).select("a", "b").distinct(), "stars", 1)
+    links = scratch.table(_verified(stars, held, texts, shingle, num, den, k), "links", 1)
     part = components(links)
 
     placed = lists.join(part.withColumnRenamed("id", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
@@ -226,7 +226,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     ordered = (F.col("a_n") < F.col("b_n")) | ((F.col("a_n") == F.col("b_n")) & (F.col("a") < F.col("b")))
     rest = one.join(two, ["v", "step"]).where(ordered & (F.col("a_g") != F.col("b_g")) & may_be("a", "b")).select("a", "b").distinct()
     tried = stars.union(stars.select("b", "a"))
-    more = scratch.table(_verified(rest.join(tried, ["a", "b"], "left_anti"), held, texts, shingle, num, den, k), "more")
+    more = scratch.table(_verified(rest.join(tried, ["a", "b"], "left_anti"), held, texts, shingle, num, den, k), "more", 1)
     if not more.isEmpty():
         part = components(links.union(more))
 

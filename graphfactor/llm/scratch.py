@@ -28,17 +28,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df in at most four partitions per core of the cluster, merged without a shuffle: as many tasks as keep all cores
-    busy, and no more small files, each of which costs the file system several calls."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+def few(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """df in at most ``per_core`` partitions per core of the cluster, merged without a shuffle: as many tasks as keep all
+    cores busy, and no more small files, each of which costs the file system several calls."""
+    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
 
 
-def table(df: DataFrame, label: str) -> DataFrame:
+def table(df: DataFrame, label: str, per_core: int = 4) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    few(df).write.parquet(path)
+    few(df, per_core).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
