@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .container import Container
+from .operators.context import EntityContext
 from .operators.cycles import denormalize_objects, normalize_objects
 from .operators.denormalize import denormalize
 from .operators.normalize import normalize
@@ -515,3 +516,14 @@ def diagnostics(spark, d):
     config.normalize_graph("Node").auto_discover(False)
     config.for_type("Empty").ignore("x")
     return spark.createDataFrame([(x.id, x.severity, x.type) for x in config.diagnostics()], "id string, severity string, type string")
+
+
+@query("""with c as (select c_custkey, n_name, c_custkey % 2 = 0 as late from customer join nation on n_nationkey = c_nationkey),
+f as (select n_name, min((late, c_custkey)) as first from c group by n_name), i as (select n_name, first, row_number() over (order by first) - 1 as idx from f)
+select c_custkey, n_name, idx, first = (late, c_custkey) as is_new from c join i using (n_name)""")
+def growing_list(spark, d):
+    """Nations of customers with odd keys, then of those with even keys, entered into one list."""
+    rows = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    lists = EntityContext(spark)
+    parts = [lists.get_or_add_index("Nation", rows.where(F.col("c_custkey") % 2 == x), "c_custkey") for x in (1, 0)]
+    return parts[0].union(parts[1])

@@ -11,6 +11,7 @@ from sequential import Sequential
 
 from graphfactor.container import Container
 from graphfactor.functions import naming
+from graphfactor.operators.context import EntityContext
 from graphfactor.operators.cycles import denormalize_objects, expand, normalize_objects
 from graphfactor.operators.denormalize import denormalize
 from graphfactor.operators.normalize import normalize
@@ -394,3 +395,27 @@ def test_random_cyclic_graphs_equal_sequential_factoring(spark, name):
             found.setdefault(r.root_id, {})[r.idx] = {p.name: r[p.column] for p in c.graph.by_name[t].props}
         for i, (_, lists) in want.items():
             assert [x for _, x in sorted(found.get(i, {}).items())] == lists[t], (t, i)
+
+
+def test_growing_lists(spark):
+    lists = EntityContext(spark)
+    df = lambda *x: spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "pos long, Name string, Age int")
+    enter = lambda key, rows: [(r.idx, r.is_new) for r in lists.get_or_add_index(key, rows, "pos").orderBy("pos").collect()]
+    assert lists.collection("P").collect() == []
+    assert enter("P", df(("a", 1), ("b", None), ("a", 1), ("b", None))) == [(0, True), (1, True), (0, False), (1, False)]
+    assert enter("P", df(("b", None), ("c", 3), (None, None))) == [(1, False), (2, True), (3, True)]
+    assert enter("Q", df(("c", 3))) == [(0, True)] and enter("P", df()) == []
+    assert rows(lists.collection("P")) == [(0, "a", 1), (1, "b", None), (2, "c", 3), (3, None, None)]
+    with pytest.raises(TypeError):
+        lists.get_or_add_index("P", spark.createDataFrame([(1, 2)], "pos long, Name int"), "pos")
+    put = lambda *x: lists.add_to_collection("R", spark.createDataFrame(list(x), "idx int, Name string"))
+    put((0, "a"), (3, "d"))
+    put((0, "z"), (1, "b"))
+    assert rows(lists.collection("R")) == [(0, "z"), (1, "b"), (2, None), (3, "d")]
+    with pytest.raises(IndexError):
+        put((-1, "x"))
+    ids = spark.createDataFrame([(7,), (8,)], "source long")
+    assert rows(lists.tracked(ids)) == [(7, None), (8, None)]
+    lists.track(spark.createDataFrame([(7, 1)], "source long, idx long"))
+    lists.track(spark.createDataFrame([(7, 5), (9, 2)], "source long, idx long"))
+    assert rows(lists.tracked(ids)) == [(7, 1), (8, None)]
