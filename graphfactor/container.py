@@ -68,6 +68,11 @@ class Container:
             out = out.join(listed, "root_id", "left").withColumn(name, F.coalesce(name, F.array().cast(T.ArrayType(row_schema(self.graph, t)))))
         return out
 
+    def create_views(self) -> None:
+        """A temporary view of each list, named by the type's key (with_name, else its short name), for SQL."""
+        for t, name in self.graph.lists.items():
+            self[name].createOrReplaceTempView(self.graph.config.key_of(t))
+
     def counts(self) -> DataFrame:
         """list, n: entries over all roots."""
         if self._frames is None:

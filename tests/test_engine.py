@@ -280,6 +280,12 @@ def test_stores_and_streams(spark, tmp_path):
     assert rows(read_container(spark, f"{tmp_path}/out", cfg.compile())["PersonList"]) == rows(c["PersonList"])
 
 
+def test_views_by_key(spark):
+    c = normalize(people(spark, ("A", 30, MAIN, OAK, [])), config(PERSON, "Person", lambda c: c.for_type("Address").with_name("places")), "Name")
+    c.create_views()
+    assert spark.sql("select count(*) as n from places join Person using (root_id)").first().n == 2 and c.names[0] == "AddressList"
+
+
 def test_factoring_needs_no_shuffle(spark):
     df = people(spark, ("A", 30, MAIN, MAIN, [HOME]))
     c = normalize(df, config(PERSON, "Person"), "Name")
