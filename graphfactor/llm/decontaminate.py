@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import in_batches
 from .text import PLAIN, Runs, covered, lowest, slices, word_hashes, words
 
 #: Words of a fingerprint's k-gram; at most the window.
@@ -120,7 +121,7 @@ def _scan(index):
 def _one_block(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
     index = docs.sparkSession.sparkContext.broadcast((Index([(i, t) for i, (_, t) in enumerate(items)], window), [name for name, _ in items]))
     carried = T.StructType([f for f in docs.schema if f.name != "text"])
-    return docs.mapInArrow(_scan(index), T.StructType([*carried, *T._parse_datatype_string("n_words long, spans array<struct<start:long,stop:long>>, items array<string>")]))
+    return docs.transform(in_batches, _scan(index), T.StructType([*carried, *T._parse_datatype_string("n_words long, spans array<struct<start:long,stop:long>>, items array<string>")]))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .scratch import in_batches
 from .text import slices
 
 WIDTH, MAX_ROWS = 64, 65_535
@@ -267,7 +268,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: the bytes of column payload (text or binary), padded with zeros to a positive multiple
     of WIDTH, as a GIF without loss. Null payloads are empty ones; every row of docs gives a row."""
-    return docs.select("doc_id", docs["payload"].cast("binary").alias("payload")).mapInArrow(_stored, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, media binary")]))
+    return docs.select("doc_id", docs["payload"].cast("binary").alias("payload")).transform(in_batches, _stored, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_bytes long, media binary")]))
 
 
 def frames(media: DataFrame) -> DataFrame:
@@ -278,4 +279,4 @@ def frames(media: DataFrame) -> DataFrame:
     """
     media = media.drop("frames", "error")
     kinds = "array<struct<nth:int,delay_ms:int,left:int,top:int,width:int,height:int,channels:int,pixels:binary,histogram:array<long>>>"
-    return media.mapInArrow(_read, T.StructType([*media.schema, *T._parse_datatype_string(f"frames {kinds}, error string")]))
+    return media.transform(in_batches, _read, T.StructType([*media.schema, *T._parse_datatype_string(f"frames {kinds}, error string")]))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .components import components
+from .scratch import in_batches
 from .text import SPACED, Runs, mix, repeated, signed, slices, word_hashes, words
 
 #: Sizes of the small and the large sketch.
@@ -149,10 +150,10 @@ def _alike(width: int, num: int, den: int):
 def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: int, num: int, den: int, k: int) -> DataFrame:
     """Those of the pairs (a, b) that are alike: by the sketch of the union, then on full sets."""
     side = lambda x: sketches.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
-    likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_hopeful(num, den, k), "a long, b long")
+    likely = pairs.join(side("a"), "a").join(side("b"), "b").transform(in_batches, _hopeful(num, den, k), "a long, b long")
     left = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
     both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    return both.mapInArrow(_alike(width, num, den), "a long, b long").distinct()
+    return both.transform(in_batches, _alike(width, num, den), "a long, b long").distinct()
 
 
 def _rarest(entries: DataFrame, num: int, den: int, k: int) -> DataFrame:
@@ -190,7 +191,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     """
     t = num / den
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = scratch.table(rows.mapInArrow(_sketches(shingle, k), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
+    made = scratch.table(rows.transform(in_batches, _sketches(shingle, k), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     usable = made.where("doc_id is not null and n > 0")
     classes = scratch.table(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c")), "classes")
     # one row of each class: that of its least doc_id
@@ -200,7 +201,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     held = scratch.table(held.join(playing, "c"), "playing")
     texts = scratch.table(rows.join(held.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
-    entries = texts.mapInArrow(_fine(shingle, fine), "c long, n int, v long")
+    entries = texts.transform(in_batches, _fine(shingle, fine), "c long, n int, v long")
     lists = scratch.table(_rarest(entries, num, den, fine), "lists")
 
     def may_be(x: str, y: str):

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sample import least_by_hash
+from .scratch import in_batches
 from .text import SPACED, mix, slices, word_hashes, words
 
 #: Labelled rows that the model is fitted on at most, those with the least hash of doc_id.
@@ -30,6 +32,9 @@ FEATURES = (
     "bytes above 127", "line breaks per word", "share of repeated lines", "words with digits", "longest word (log)", "words that end a sentence",
 )
 
+#: Text bytes at once; features take some 150 bytes of memory each.
+_SLICE = 1 << 19
+
 _CLASS = np.zeros(256, np.uint8)
 _UPPER, _LOWERCASE, _DIGIT, _PUNCT, _BANG, _BAR, _HIGH, _BREAK = 1, 2, 3, 4, 5, 6, 7, 8
 _CLASS[0x41:0x5B], _CLASS[0x61:0x7B], _CLASS[0x30:0x3A], _CLASS[0x80:] = _UPPER, _LOWERCASE, _DIGIT, _HIGH
@@ -192,7 +197,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for batch, texts in slices(whole):
+        for batch, texts in slices(whole, limit=_SLICE):
             x = features(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
@@ -210,9 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     repeated documents count once. The driver sees features of the sample only.
     """
     use = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    use = use.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    use = least_by_hash(use, sample, "doc_id")
     rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("doc_id", "label", "text")
-    found = rows.mapInArrow(_rows, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("row"))
+    found = rows.transform(in_batches, _rows, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("row"))
     found = sorted((r["doc_id"], r["row"]["label"], r["row"]["x"]) for r in found.collect())
     return fit(np.array([x for *_, x in found], float).reshape(-1, len(FEATURES)), np.array([y for _, y, _ in found], float))
 
@@ -220,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def _scores(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch, texts in slices(whole):
+            for batch, texts in slices(whole, limit=_SLICE):
                 kept = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(model.score(features(texts)))], [*kept, "score"])
 
@@ -234,4 +239,4 @@ def score(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """
     docs = docs.select("doc_id", *([F.struct("*").alias("row")] if carry else []), "text")
     out = T.StructType([f for f in docs.schema if f.name != "text"]).add("score", "double")
-    return docs.mapInArrow(_scores(model), out)
+    return docs.transform(in_batches, _scores(model), out)

@@ -101,7 +101,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = tokens.store(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return tokens.read(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return tokens.read(spark, path, with_ids=False)
 
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:

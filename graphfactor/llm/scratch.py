@@ -49,3 +49,17 @@ def drop(df: DataFrame) -> None:
         folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
         if "/graphfactor/" in name:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows and bytes of the record batches that Python workers get: texts are long, and several copies of a batch exist at once.
+_BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20))
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded size, for df.transform. The session keeps the smaller of its own and our bounds."""
+    conf = df.sparkSession.conf
+    for key, most in _BATCH:
+        own = conf.get(key, None)
+        if not (own and own.isdigit() and 0 < int(own) <= most):
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .scratch import in_batches
 from .text import SPACED, Runs, covered, lowest, repeated, signed, slices, word_hashes, words
 
 #: Words of a seed; at most the window.
@@ -133,7 +134,7 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     if not 1 <= window < 1 << 15:
         raise ValueError("window must lie between 1 and 32767 words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("d"), F.xxhash64("text").alias("t"), "text")
-    found = rows.select("d", "t", "text").mapInArrow(_find(window), "d long, t long, seed long, phrase long, place long")
+    found = rows.select("d", "t", "text").transform(in_batches, _find(window), "d long, t long, seed long, phrase long, place long")
     # a table of its own, so that Spark may split the join's partitions of hot seeds
     seeds = scratch.table(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds")
     found = scratch.table(found.join(seeds, "seed"), "phrases")
@@ -145,12 +146,12 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     mixed = phrases.groupBy("seed").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("seed")
     borders = phrases.join(mixed, "seed").select("one.d", "one.t", F.struct("one.place", "seed", (F.col("n") == 1).alias("asked")).alias("row"))
     listed = borders.groupBy("d", "t").agg(F.collect_set("row").alias("listed"))
-    windows = rows.select("d", "t", "text").join(listed, ["d", "t"]).mapInArrow(_windows(window), "d long, t long, seed long, asked boolean, words long, place long")
+    windows = rows.select("d", "t", "text").join(listed, ["d", "t"]).transform(in_batches, _windows(window), "d long, t long, seed long, asked boolean, words long, place long")
     windows = scratch.table(windows, "windows")
     again = windows.groupBy("seed", "words").agg(F.count("*").alias("n")).where("n > 1").select("seed", "words")
     edges = windows.where("asked").join(again, ["seed", "words"]).select("d", "t", "place")
 
     places = factors.union(edges).groupBy("d", "t").agg(F.collect_set("place").alias("places"))
-    return rows.join(places, ["d", "t"], "left").select("doc_id", "text", "places").mapInArrow(
+    return rows.join(places, ["d", "t"], "left").select("doc_id", "text", "places").transform(in_batches, 
         _cut(window), "doc_id long, kept_text string, spans array<struct<start:long,stop:long>>, n_words long, n_removed long"
     )

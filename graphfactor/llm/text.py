@@ -6,6 +6,9 @@ sliding windows are each a few numpy passes over it. Hashes are polynomials modu
 
 from __future__ import annotations
 
+import ctypes
+import os
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -14,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/lib64/ld-linux-x86-64.so.2") else None
 #: Text bytes handled at once; a longer text is handled alone.
 SLICE = 2 << 20
 _BASE, _RUN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -147,6 +151,14 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
         size += len(t)
     if texts:
         yield batch.slice(start), texts[start:]
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on, and large arrays leave holes in their heaps."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def signed(x: np.ndarray) -> pa.Array:

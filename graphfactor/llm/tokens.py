@@ -25,19 +25,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .scratch import in_batches
 from .text import slices
 
 #: Documents whose ids train the dictionary, characters read of each, and bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 4000, 64 << 10
+#: Text bytes encoded at once: the more, the fewer words are looked up twice.
+_SLICE = 4 << 20
 #: Compressed bytes after which a pack is full.
 PACK_BYTES = 1 << 20
-#: Pieces an encoder remembers before it starts anew.
-_CACHED_PIECES = 500_000
+#: Words, and pieces of words, that an encoder remembers before it starts anew.
+_CACHED = 300_000
 _PACKS = "shard int, pack int, dict_hash string, width int, doc_ids array<long>, offsets array<long>, n_tokens array<long>, before long, blob binary"
 
 
 class Encoder:
-    """Ids of texts, encoded by distinct piece; pieces met before are looked up.
+    """Ids of texts, encoded by distinct word; words and their pieces met before are looked up.
 
     White space always parts words here: the vocabulary's normaliser makes it one space and its pre-tokenizer drops
     it, so a text's ids are those of its space-separated words in a row. A text of ASCII and Latin letters is cut the
@@ -55,6 +58,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         kind = json.loads(self.tokenizer.to_str())
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -85,26 +89,59 @@ class Encoder:
             out += [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
         return out
 
-    def batch(self, texts: list[bytes]) -> list[np.ndarray]:
+    def batch(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """Ids of each text, with end_id after them."""
         strings = [t.translate(self._SPACES).decode() for t in texts]
         plain = [self.cuts and self.plain(s) is not None for s in strings]
-        out: list[bytes] = self._alone([s for s, p in zip(strings, plain, strict=True) if not p]) if not all(plain) else []
-        if any(plain):
+        end = np.array([end_id], np.uint32)
+        slow = iter([np.concatenate([np.frombuffer(x, np.uint32), end]) for x in self._alone([s for s, p in zip(strings, plain, strict=True) if not p])] if not all(plain) else [])
+        quick = iter(self._cut(" \n ".join(compress(strings, plain)), end_id) if any(plain) else [])
+        return [next(quick if p else slow) for p in plain]
+
+    def _cut(self, texts: str, end_id: int) -> list[np.ndarray]:
+        """Ids of texts of which a line feed between spaces parts each from the next."""
+        buffer = np.frombuffer(f" {texts} \n ".lower().encode(), np.uint8)
+        spaces = buffer == 0x20
+        starts = np.flatnonzero(spaces[:-1] & ~spaces[1:]) + 1
+        # a word and the spaces after it; Arrow finds the distinct ones
+        offsets = np.append(starts, len(buffer)).astype(np.int32)
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]).dictionary_encode()
+        found = self._words(words.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        first, which = np.cumsum(size) - size, words.indices.to_numpy()
+        count = size[which]
+        row = ids[np.repeat(first[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        ends = np.flatnonzero(row == _MARK)
+        row[ends] = end_id
+        return np.split(row, ends[:-1] + 1)
+
+    def _words(self, padded: list[bytes]) -> list[bytes]:
+        """Ids of distinct words."""
+        for table in (self.words, self.pieces):
+            if len(table) > _CACHED:
+                table.clear()
+        # a line feed stands for no id of the vocabulary, so it marks the ends
+        self.words[b"\n"] = _MARK.tobytes()
+        words = [w.rstrip(b" ") for w in padded]
+        found = list(map(self.words.get, words))
+        new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
+        if new:
+            # all pieces of all new words in a row; a line feed, here of no ids, ends each word
             known = self.pieces
-            if len(known) > _CACHED_PIECES:
-                known.clear()
-            # all pieces of all texts in a row; a line feed, of no ids, ends each text
             known["\n"] = b""
-            row = self._PIECE.findall("\n".join(compress(strings, plain)).lower() + "\n")
+            row = self._PIECE.findall(b"\n".join(new).decode() + "\n")
             unknown = list(set(row).difference(known))
             known.update(zip(unknown, self._together(unknown), strict=True))
-            found = list(map(known.__getitem__, row))
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            stops, raw = np.cumsum(sizes)[sizes == 0].tolist(), b"".join(found)
-            quick = iter([raw[a:b] for a, b in zip([0, *stops], stops, strict=False)])
-            slow = iter(out)
-            out = [next(quick if p else slow) for p in plain]
-        return [np.frombuffer(x, np.uint32) for x in out]
+            parts = list(map(known.__getitem__, row))
+            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+            stops, raw = np.cumsum(sizes)[sizes == 0].tolist(), b"".join(parts)
+            self.words.update(zip(new, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+            found = list(map(self.words.__getitem__, words))
+        return found
+
+
+_MARK = np.uint32(0xFFFFFFFF)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -137,9 +174,8 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
             return pa.RecordBatch.from_pylist([row], kinds)
 
         for whole in batches:
-            for batch, texts in slices(whole):
-                for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode.batch(texts), strict=True):
-                    ids = np.append(found, np.uint32(end_id))
+            for batch, texts in slices(whole, limit=_SLICE):
+                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(texts, end_id), strict=True):
                     frames.append(packer.compress(_serialized(ids, width)))
                     doc_ids.append(doc_id)
                     counts.append(len(ids))
@@ -154,13 +190,14 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
     return run
 
 
-def train(docs: DataFrame, tokenizer: str, width: int, sample: int = SAMPLE_DOCS) -> bytes:
-    """A zstandard dictionary from the serialized ids of at most ``sample`` documents, those with the least hash.
+def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = SAMPLE_DOCS) -> bytes:
+    """A zstandard dictionary from the serialized ids of the beginnings of the first ``sample`` documents.
 
-    Empty (no dictionary) if the corpus is too small to train one.
+    Reading stops there, so that a large corpus isn't read once more for it. The dictionary changes how small the files
+    are, not what they hold. Empty (no dictionary) if the corpus is too small to train one.
     """
-    rows = docs.where("text is not null").select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h")).orderBy("h", "text").limit(sample).collect()
-    samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([r["text"].encode() for r in rows if r["text"].strip()])]
+    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null").limit(sample).collect()
+    samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([r["text"].encode() for r in rows if r["text"].strip()], end_id)]
     if sum(map(len, samples)) < 16 * 1024 or len(samples) < 50:
         return b""
     try:
@@ -180,14 +217,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, level: in
     spark = docs.sparkSession
     size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
     width = 2 if max(size - 1, end_id) < 1 << 16 else 4
-    docs = docs.select("doc_id", "text")
-    dictionary = train(docs, tokenizer, width)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dictionary = train(docs, tokenizer, end_id, width)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "dict_hash string, dictionary binary").write.parquet(f"{path}/dictionary")
     ranged = docs.repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    ranged.mapInArrow(_write(tokenizer, dictionary, end_id, width, level), _PACKS).write.parquet(f"{path}/packs")
+    ranged.transform(in_batches, _write(tokenizer, dictionary, end_id, width, level), _PACKS).write.parquet(f"{path}/packs")
 
 
-def _unpacked(dictionary: bytes):
+def _unpacked(dictionary: bytes, with_ids: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
         dict_hash = hashlib.sha256(dictionary).hexdigest()
@@ -198,10 +235,9 @@ def _unpacked(dictionary: bytes):
                 blob, o = row["blob"], row["offsets"]
                 ids = [np.frombuffer(unpacker.decompress(blob[a:b]), "<u2" if row["width"] == 2 else "<u4").astype("<u4") for a, b in zip(o, o[1:])]
                 starts = row["before"] + row["shard_start"] + np.cumsum([0, *row["n_tokens"]])[:-1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [pa.array(row["doc_ids"], pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())]
+                more = [pa.array([x.tobytes() for x in ids], pa.binary())] if with_ids else []
+                yield pa.RecordBatch.from_arrays([*columns, *more], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns) + len(more)])
 
     return run
 
@@ -213,8 +249,9 @@ def dictionary_of(spark: SparkSession, path: str) -> bytes:
     return bytes(row["dictionary"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of token files: doc_id, start (ids before it), n_tokens, ids_crc32, ids (little-endian, 4 bytes each).
+def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """Every document of token files, unpacked: doc_id, start (ids before it), n_tokens, ids_crc32 (of the ids as
+    little-endian numbers of 4 bytes) and, unless they aren't wanted, ids (these bytes).
 
     A start is what the shards before hold (as many sums as shards, joined by broadcast up to Spark's threshold), what
     the shard's packs before hold (kept in the pack) and what the pack's documents before hold.
@@ -226,7 +263,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         rows.append((r["shard"], before))
         before += r["n"]
     packs = packs.join(spark.createDataFrame(rows, "shard int, shard_start long"), "shard")
-    return packs.mapInArrow(_unpacked(dictionary_of(spark, path)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return packs.transform(in_batches, _unpacked(dictionary_of(spark, path), with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def read_one(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:

@@ -182,8 +182,8 @@ def test_encoder_equals_the_tokenizer():
     rnd = random.Random(3)
     alphabet = list("aZé'sdtİßſΣ漢!?12ĿŉªµØø×÷-<>|\n\t\x0b\x1c\x00̱́ KH ") + ["<|endoftext|>", "don't ", "I'LL ", " "]
     texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(25))) for _ in range(3000)] + ["", " "]
-    for t, ids in zip(texts, encode.batch([t.encode() for t in texts]), strict=True):
-        assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    for t, ids in zip(texts, encode.batch([t.encode() for t in texts], 2), strict=True):
+        assert ids.tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 2], repr(t)
 
 
 def test_token_files_round_trip(spark):
