@@ -25,10 +25,13 @@ def components(links: DataFrame) -> DataFrame:
         # small-star: every neighbour below u, and u, go to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = scratch.table(small, "edges", 1)
+        last, edges = edges, scratch.table(small, "edges", 1)
+        scratch.drop(last)
         now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     ends = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return scratch.table(ends.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components", 1)
+    out = scratch.table(ends.union(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct(), "components", 1)
+    scratch.drop(edges)
+    return out

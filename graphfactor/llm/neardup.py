@@ -193,12 +193,12 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = scratch.table(rows.transform(in_batches, _sketches(shingle, k), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     usable = made.where("doc_id is not null and n > 0")
-    classes = scratch.table(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c")), "classes")
+    classes = scratch.table(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c")), "classes", 2)
     # one row of each class: that of its least doc_id
     held = usable.join(classes.withColumnRenamed("c", "doc_id"), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("c"), "n", "sketch").dropDuplicates(["c", "n"])
 
     playing = _rarest(held.select("c", "n", F.explode("sketch").alias("v")), num, den, k).select("c").distinct()
-    held = scratch.table(held.join(playing, "c"), "playing")
+    held = scratch.table(held.join(playing, "c"), "playing", 2)
     texts = scratch.table(rows.join(held.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
     entries = texts.transform(in_batches, _fine(shingle, fine), "c long, n int, v long")
@@ -219,7 +219,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
 
     placed = lists.join(part.withColumnRenamed("id", "c"), "c", "left").withColumn("g", F.coalesce("component", "c"))
     open_lists = placed.groupBy("v").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low < high").select("v")
-    placed = scratch.table(placed.join(open_lists, "v").select("v", "c", "n", "at", "g"), "open")
+    placed = scratch.table(placed.join(open_lists, "v").select("v", "c", "n", "at", "g"), "open", 1)
     # sizes that fit lie in the same or in neighbouring steps of a geometric scale
     step = F.floor(F.log("a_n") / F.log(F.lit(den / num * 1.000001))).cast("int")
     one = side(placed, "a", "g").select("*", F.explode(F.array(step, step + 1)).alias("step"))
@@ -230,6 +230,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     more = scratch.table(_verified(rest.join(tried, ["a", "b"], "left_anti"), held, texts, shingle, num, den, k), "more", 1)
     if not more.isEmpty():
         part = components(links.union(more))
+    scratch.drop(held, texts, lists, stars, links, placed, more)
 
     named = classes.join(part.withColumnRenamed("id", "c"), "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("g"))
     found = made.join(named, ["s1", "s2"], "left")

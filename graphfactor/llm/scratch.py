@@ -39,16 +39,16 @@ def table(df: DataFrame, label: str, per_core: int = 4) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     few(df, per_core).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._scratch_path = path
+    return written
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table made by ``table`` that no plan needs any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(name).getParent()
-        if "/graphfactor/" in name:
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``table`` that no plan needs any more."""
+    for df in tables:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows and bytes of the record batches that Python workers get: texts are long, and several copies of a batch exist at once.

@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .scratch import in_batches
-from .text import slices
+from .text import release
 
 #: Documents whose ids train the dictionary, characters read of each, and bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 4000, 64 << 10
 #: Text bytes encoded at once: the more, the fewer words are looked up twice.
-_SLICE = 4 << 20
+_SLICE = 8 << 20
 #: Compressed bytes after which a pack is full.
 PACK_BYTES = 1 << 20
 #: Words, and pieces of words, that an encoder remembers before it starts anew.
@@ -158,6 +158,21 @@ def _serialized(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts of several batches, about _SLICE bytes of text; null texts are empty."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        ids += batch.column("doc_id").to_pylist()
+        more = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+        texts += more
+        size += sum(map(len, more))
+        if size >= _SLICE:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -173,17 +188,17 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
             kinds = pa.schema([("shard", pa.int32()), ("pack", pa.int32()), ("dict_hash", pa.string()), ("width", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("before", pa.int64()), ("blob", pa.binary())])
             return pa.RecordBatch.from_pylist([row], kinds)
 
-        for whole in batches:
-            for batch, texts in slices(whole, limit=_SLICE):
-                for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encode.batch(texts, end_id), strict=True):
-                    frames.append(packer.compress(_serialized(ids, width)))
-                    doc_ids.append(doc_id)
-                    counts.append(len(ids))
-                    size += len(frames[-1])
-                    if size >= PACK_BYTES:
-                        yield full()
-                        before += sum(counts)
-                        pack, doc_ids, frames, counts, size = pack + 1, [], [], [], 0
+        for some_ids, texts in _gathered(batches):
+            for doc_id, ids in zip(some_ids, encode.batch(texts, end_id), strict=True):
+                frames.append(packer.compress(_serialized(ids, width)))
+                doc_ids.append(doc_id)
+                counts.append(len(ids))
+                size += len(frames[-1])
+                if size >= PACK_BYTES:
+                    yield full()
+                    before += sum(counts)
+                    pack, doc_ids, frames, counts, size = pack + 1, [], [], [], 0
+            release()
         if doc_ids:
             yield full()
 
