@@ -4,7 +4,8 @@ All rolling word pairs of a text are hashed; those that templates have are joine
 (a broadcast of fixed size: the templates are constants). A hit at word p of the text and word q of a template votes for the diagonal
 p - q. Votes are gathered per diagonal as a bit per template pair, so repeated hits count once; neighbouring diagonals,
 which insertions and deletions cause, are merged; a span is verified when enough of the template's pairs were found
-word by word. Only hits are shuffled, and one row per document.
+word by word. Of licences that differ in a word the best one counts: a span is left out if the places of nearly all its
+pairs speak for a span of larger share. Only hits are shuffled, and one row per document.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ TEMPLATES = (
 COMMON = frozenset("a and any are as is it may not of or that the this to under use with you".split())
 #: Words by which merged diagonals may differ, and share of a template's pairs that makes a span.
 NEAR, ENOUGH = 3, 0.6
+#: Share of a span's found pairs that another span must have found in the same places to stand for the same words.
+SAME = 0.8
 
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands for the end of a text among its pairs, so that every document comes through the join.
@@ -67,8 +70,8 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """Find license phrases and templates in every text.
 
     docs: doc_id and text; other columns are not read. Returns one row per row of docs: doc_id, n_words, places (array
-    of label, start: every place of a phrase), spans (array of label, start, stop, share: verified template spans, by
-    the first merged diagonal and the template's length; one that overlaps another of larger share is left out),
+    of label, start: every place of a phrase), spans (array of label, start, stop, share: verified template spans, from
+    the first found word to behind the last; one whose pairs another of larger share has found too is left out),
     labels (sorted distinct), score (largest share of a span, 1 for a phrase, else 0).
 
     Null text counts as empty: no words, no labels, score 0. Null doc_ids are kept. Repeated rows each get their row.
@@ -86,14 +89,14 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     found = F.when(F.arrays_overlap("pairs", F.array(*map(F.lit, known))), F.concat(named, end)).otherwise(end)
     rows = rows.select("doc_id", "t", F.size("w").alias("n_words"), F.explode(found).alias("hit")).select("doc_id", "t", "n_words", "hit.*")
     hits = rows.join(F.broadcast(index), "h").where((F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
-    votes = hits.select("doc_id", "t", "n_words", "tid", "label", "phrase", "words", "pairs", (F.col("p") - F.col("q")).alias("diagonal"), F.expr("shiftleft(1L, bit)").alias("vote"))
+    votes = hits.select("doc_id", "t", "n_words", "tid", "label", "phrase", "words", "pairs", "p", (F.col("p") - F.col("q")).alias("diagonal"), F.expr("shiftleft(1L, bit)").alias("vote"))
     key = ["doc_id", "t", "n_words", "tid", "label", "phrase", "words", "pairs"]
-    diagonals = votes.groupBy(*key, "diagonal").agg(F.bit_or("vote").alias("found"), F.count("*").alias("n"))
+    diagonals = votes.groupBy(*key, "diagonal").agg(F.bit_or("vote").alias("found"), F.count("*").alias("n"), F.collect_set("p").alias("at"))
 
     order = Window.partitionBy("doc_id", "t", "tid").orderBy("diagonal")
     far = F.coalesce(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > NEAR), F.lit(True))
     merged = diagonals.withColumn("far", far.cast("int")).withColumn("band", F.sum("far").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = merged.groupBy(*key, "band").agg(F.bit_or("found").alias("found"), F.min("diagonal").alias("start"), F.max("n").alias("n"))
+    spans = merged.groupBy(*key, "band").agg(F.bit_or("found").alias("found"), F.min("diagonal").alias("start"), F.max("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"))
     share = F.bit_count("found") / F.col("pairs")
     enough = (F.col("tid") >= 0) & F.when(F.col("phrase"), share == 1).otherwise(share >= ENOUGH)
 
@@ -101,12 +104,14 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     start = F.greatest("start", F.lit(0)).cast("long").alias("start")
     gathered = spans.groupBy("doc_id", "t", "n_words").agg(
         F.array_sort(F.collect_list(F.when(enough & F.col("phrase"), F.struct("label", start)))).alias("places"),
-        F.array_sort(F.collect_list(F.when(enough & ~F.col("phrase"), F.struct("label", start, (F.col("start") + F.col("words")).cast("long").alias("stop"), share.alias("share"))))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(enough & ~F.col("phrase"), F.struct("label", F.array_min("at").cast("long").alias("start"), (F.array_max("at") + 2).cast("long").alias("stop"), share.alias("share"), "at")))).alias("spans"),
         F.max(F.when(F.col("tid") < 0, F.col("n"))).alias("rows"),
     )
     # of templates that stand in one place, such as licences that differ in a word, the best one counts
-    beaten = lambda s: F.exists("spans", lambda o: (o["share"] > s["share"]) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]))
-    gathered = gathered.withColumn("spans", F.filter("spans", lambda s: ~beaten(s)))
+    same = lambda s, o: F.size(F.array_intersect(s["at"], o["at"])) >= F.size(s["at"]) * SAME
+    beaten = lambda s: F.exists("spans", lambda o: (o["share"] > s["share"]) & (o["start"] < s["stop"]) & (s["start"] < o["stop"]) & same(s, o))
+    told = lambda s: F.struct(*(s[x].alias(x) for x in ("label", "start", "stop", "share")))
+    gathered = gathered.withColumn("spans", F.transform(F.filter("spans", lambda s: ~beaten(s)), told))
     labels = F.array_sort(F.array_distinct(F.concat("places.label", "spans.label")))
     score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("spans.share"), F.lit(0.0)))
     full = gathered.select("doc_id", F.col("n_words").cast("long").alias("n_words"), "places", "spans", labels.alias("labels"), score.alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))).alias("one"))

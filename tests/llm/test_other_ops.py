@@ -34,6 +34,20 @@ def test_license_places_spans_and_edge_rows(spark):
     assert by[7].labels == [] and licenses.scan(docs(spark, [])).collect() == []
 
 
+def test_license_spans_are_beaten_by_rivals_on_the_same_words_only(spark):
+    bsd = "Redistribution and use in source and binary forms, without modification, are permitted provided that the following conditions are met"
+    rows = [
+        (1, f"All rights reserved. {bsd}", "a"),
+        (2, f"{bsd.replace('are met', 'all rights reserved are met')}", "a"),
+        (3, "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "a"),
+        (4, "x licensed under cc by sa 4 0 all rights reserved released under the mit license", "a"),
+    ]
+    by = {r.doc_id: [(s.label, s.start, s.stop) for s in r.spans] for r in licenses.scan(docs(spark, rows)).collect()}
+    assert by[1] == [("all-rights-reserved", 0, 3), ("bsd", 3, 22)]
+    assert [x[0] for x in by[2]] == ["all-rights-reserved", "bsd"] and by[3] == [("lgpl", 0, 23)]
+    assert by[4] == [("all-rights-reserved", 8, 11), ("cc-by-sa", 1, 8), ("mit", 11, 16)]
+
+
 # as-of join, revisits, URL lists
 
 
