@@ -25,10 +25,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
+from .sample import least_by_hash
 from .scratch import in_batches
 from .text import release
 
-#: Documents whose ids train the dictionary, characters read of each, and bytes of the dictionary.
+#: Documents whose ids train the dictionary, characters taken of each, and bytes of the dictionary.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 4000, 64 << 10
 #: Text bytes encoded at once: the more, the fewer words are looked up twice.
 _SLICE = 8 << 20
@@ -205,13 +206,24 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
     return run
 
 
+def _sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """h, text: SAMPLE_CHARS characters, from a place drawn by hash, of each of at most ``sample`` documents of the whole table.
+
+    The documents are those with the least hash of doc_id and text, wherever they stand.
+    """
+    t = F.xxhash64("text")
+    room = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1
+    piece = F.substring("text", (F.pmod(t, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
+    return least_by_hash(docs.where("text is not null").select("doc_id", t.alias("h"), piece.alias("text")), sample, "doc_id", "h").select("h", "text")
+
+
 def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = SAMPLE_DOCS) -> bytes:
-    """A zstandard dictionary from the serialized ids of the beginnings of the first ``sample`` documents.
+    """A zstandard dictionary from the serialized ids of pieces of at most ``sample`` documents, drawn by hash from all.
 
-    Reading stops there, so that a large corpus isn't read once more for it. The dictionary changes how small the files
-    are, not what they hold. Empty (no dictionary) if the corpus is too small to train one.
+    It depends on the rows only, not on their order or files. The dictionary changes how small the files are, not what
+    they hold. Empty (no dictionary) if the corpus is too small to train one.
     """
-    rows = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text")).where("text is not null").limit(sample).collect()
+    rows = sorted(_sampled(docs, sample).collect(), key=lambda r: (r["h"], r["text"]))
     samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([r["text"].encode() for r in rows if r["text"].strip()], end_id)]
     if sum(map(len, samples)) < 16 * 1024 or len(samples) < 50:
         return b""

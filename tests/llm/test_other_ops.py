@@ -223,6 +223,16 @@ def test_token_files_round_trip(spark):
         list(other([spark.read.parquet(f"{path}/packs").withColumn("shard_start", F.lit(0)).toArrow().to_batches()[0]]))
 
 
+def test_dictionary_is_trained_on_all_sources_and_parts_of_documents(spark):
+    rows = [(i, " ".join(f"{'ab'[i > 300]}{i * j % 997}" for j in range(40)), "ab"[i > 300]) for i in range(600)]
+    first, last = (spark.createDataFrame(rows[::x], "doc_id long, text string, source string").coalesce(1) for x in (1, -1))
+    assert tokens.train(first, TOKENIZER, 2, 2, sample=200) == tokens.train(last, TOKENIZER, 2, 2, sample=200) != b""
+    taken = [r.text for r in tokens._sampled(first, 200).collect()]
+    assert len(taken) > 100 and {t[0] for t in taken} == {"a", "b"}
+    long = spark.createDataFrame([(i, "x" * 50_000 + "y" * 50_000 + str(i)) for i in range(60)], "doc_id long, text string")
+    assert {t for r in tokens._sampled(long, 60).collect() for t in r.text[:1]} == {"x", "y"}
+
+
 def test_token_files_of_empty_table(spark):
     assert tokens.read(spark, tokens.store(docs(spark, []), TOKENIZER)).collect() == []
 
