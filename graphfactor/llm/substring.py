@@ -1,7 +1,7 @@
-"""Substring dedup by Relative Lempel-Ziv parsing.
+"""Substring dedup by winnowed phrase hashing, which replaces Relative Lempel-Ziv parsing.
 
-Every text is parsed greedily against an index of the whole corpus, kept in blocks that are hash partitions. The
-unit of the index is the *phrase*: of the ``window`` words at each place, the run of SEED words with the least hash
+No text is parsed greedily and no longest match is looked for: repeats are counted by hash over the whole corpus, in
+blocks that are hash partitions, and what is repeated is joined to spans (*factors*). The unit is the *phrase*: of the ``window`` words at each place, the run of SEED words with the least hash
 is the seed, and neighbouring windows with one seed form one phrase, which depends on the words alone. Two places
 with the same ``window`` words therefore have the same seed, so looking up seeds loses no factor of that length.
 
