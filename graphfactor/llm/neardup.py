@@ -6,20 +6,23 @@ small one finds the few classes that can have a partner at all, the large one, f
 
 * Two sets of the wanted similarity share at least c retained values, so it is enough to meet in one of the k - c + 1
   rarest; values that stand in one class only are dropped before anything else. For sets that fit into sketches c is
-  exact; else it lies six standard deviations under the mean (a miss: under 1e-8 per pair).
+  exact; else it is a binomial quantile that a pair at the threshold falls short of with a probability of at most MISS.
+  The small sketch comes first, so only sets that fit into it are compared without this chance; a pair is missed with a
+  probability of at most 2 MISS, MISS for each size of sketch.
 * Values are ordered by rarity, and a pair that meets at places i and j can share no more than what follows in both.
 * Within a list each class is compared with the list's *leader*, the class with most shared values, so a list of n
   classes gives n - 1 pairs. What the leaders link is one component. Only pairs of a list that lie in different
   components after that are compared one by one.
 
-A pair's similarity is estimated from the sketch of the union first; pairs within six standard deviations of the
-threshold are verified on the full sets.
+A pair's similarity is estimated from the sketch of the union first, with the same quantile; pairs that reach it are
+verified on the full sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import floor, sqrt
+from functools import cache
+from math import exp, floor, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +36,8 @@ from .text import SPACED, Runs, mix, repeated, signed, slices, word_hashes, word
 
 #: Sizes of the small and the large sketch.
 K, FINE = 64, 1024
-SIGMAS = 6
+#: Probability at most, for each size of sketch, that a pair at the threshold is missed.
+MISS = 1e-9
 
 
 def _shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +93,7 @@ def _fine(width: int, k: int):
 
 def _hopeful(num: int, den: int, k: int):
     """Keep the pairs whose similarity may reach num / den by the sketch of their union."""
-    t = num / den
+    least = _least(num / den, k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,8 +113,8 @@ def _hopeful(num: int, den: int, k: int):
             whole = (batch.column("a_n").to_numpy() <= k) & (batch.column("b_n").to_numpy() <= k)
             m = np.where(whole, union, np.minimum(union, k))
             shared = np.bincount(pair[twice & (rank < m[pair])], minlength=len(batch))
-            slack = SIGMAS * np.sqrt(t * (1 - t) / np.maximum(m, 1))
-            keep = np.where(whole, shared * den >= union * num, shared >= (t - slack) * m)
+            # where a sketch is cut, the union has k values at least
+            keep = np.where(whole, shared * den >= union * num, shared >= least)
             places = np.flatnonzero(keep)
             yield pa.RecordBatch.from_arrays([repeated(batch.column(x), places) for x in "ab"], ["a", "b"])
 
@@ -172,9 +176,16 @@ def _rarest(entries: DataFrame, num: int, den: int, k: int) -> DataFrame:
     )
 
 
+@cache
 def _least(t: float, k: int) -> int:
-    """Retained values that two sets of similarity t share at least, if their sketches are cut."""
-    return floor((t - SIGMAS * sqrt(t * (1 - t) / k)) * k)
+    """Retained values that two sets of similarity t share at least, if their sketches are cut: the most of which fewer
+    come out of k draws with a probability of at most MISS. (Draws from a set without replacement fall short less often.)"""
+    below = 0.0
+    for c in range(k if t < 1 else 0):
+        below += exp(lgamma(k + 1) - lgamma(c + 1) - lgamma(k - c + 1) + c * log(t) + (k - c) * log1p(-t))
+        if below > MISS:
+            return c
+    return k
 
 
 def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k: int = K, fine: int = FINE) -> DataFrame:

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
+from math import comb
 
 import numpy as np
 import pytest
@@ -186,6 +188,15 @@ def test_long_documents_with_cut_sketches(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_groups(texts, range(len(texts)), 3, 85, 100)
 
 
+@pytest.mark.parametrize("num,k", [(80, 64), (85, 64), (80, 1024), (85, 1024)])
+def test_bounds_of_cut_sketches_miss_no_more_than_they_say(num, k):
+    def missed(c):
+        return Fraction(sum(comb(k, i) * num**i * (100 - num) ** (k - i) for i in range(c)), 100**k)
+
+    c = neardup._least(num / 100, k)
+    assert missed(c) <= Fraction(1, 10**9) < missed(c + 1)
+
+
 def test_components_of_paths_stars_and_loops(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 130)] + [(7, 7), (200, 201), (201, 200), (None, 5)]
