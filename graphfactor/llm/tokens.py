@@ -3,9 +3,9 @@
 The file format is a Parquet folder of *packs*. A pack holds consecutive documents of one shard, ascending by
 doc_id: one blob of zstandard frames, one frame per document, and the index of the blob (doc_ids, offsets, n_tokens).
 A short document is read by its pack's range of doc_ids and its offsets, without unpacking its neighbours. Beside it
-lies the dictionary, trained on the serialized ids of a bounded sample of documents; each pack names its hash, and a
-reader with another dictionary refuses. Shards are ranges of doc_id, so packs in order of (shard, pack) are in
-ascending doc_id order.
+lies the dictionary, trained on the serialized ids of a bounded sample of pieces, drawn by hash from all pieces of all
+texts; each pack names its hash, and a reader with another dictionary refuses. Shards are ranges of doc_id, so packs
+in order of (shard, pack) are in ascending doc_id order.
 """
 
 from __future__ import annotations
@@ -25,23 +25,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
-from .sample import least_by_hash
+from .sample import cut_step, step_of
 from .scratch import in_batches
 from .text import release
 
-#: Documents whose ids train the dictionary, characters taken of each, and bytes of the dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 2000, 4000, 64 << 10
+#: Pieces whose ids train the dictionary, characters of a piece, and bytes of the dictionary.
+SAMPLE, PIECE, DICT_BYTES = 2000, 4000, 64 << 10
 #: Text bytes encoded at once: the more, the fewer words are looked up twice.
 _SLICE = 8 << 20
 #: Compressed bytes after which a pack is full.
 PACK_BYTES = 1 << 20
-#: Words, and pieces of words, that an encoder remembers before it starts anew.
+#: Pieces of words that an encoder remembers before it starts anew.
 _CACHED = 300_000
 _PACKS = "shard int, pack int, dict_hash string, width int, doc_ids array<long>, offsets array<long>, n_tokens array<long>, before long, blob binary"
 
 
 class Encoder:
-    """Ids of texts, encoded by distinct word; words and their pieces met before are looked up.
+    """Ids of texts, encoded by distinct word; pieces of words that were met before are looked up.
 
     White space always parts words here: the vocabulary's normaliser makes it one space and its pre-tokenizer drops
     it, so a text's ids are those of its space-separated words in a row. A text of ASCII and Latin letters is cut the
@@ -51,7 +51,7 @@ class Encoder:
     """
 
     _LETTER = "a-z\u00df-\u00f6\u00f8-\u017f"
-    _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\n|[^{_LETTER}0-9\n ]+")
+    _PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|\n| |[^{_LETTER}0-9\n ]+")
     _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
     def __init__(self, path: str):
@@ -59,7 +59,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         kind = json.loads(self.tokenizer.to_str())
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -103,43 +102,33 @@ class Encoder:
         """Ids of texts of which a line feed between spaces parts each from the next."""
         buffer = np.frombuffer(f" {texts} \n ".lower().encode(), np.uint8)
         spaces = buffer == 0x20
-        starts = np.flatnonzero(spaces[:-1] & ~spaces[1:]) + 1
-        # a word and the spaces after it; Arrow finds the distinct ones
-        offsets = np.append(starts, len(buffer)).astype(np.int32)
-        words = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]).dictionary_encode()
-        found = self._words(words.dictionary.to_pylist())
-        ids = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
-        first, which = np.cumsum(size) - size, words.indices.to_numpy()
-        count = size[which]
-        row = ids[np.repeat(first[which] - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        # one space after each word
+        one = np.flatnonzero(~(spaces & np.concatenate([[True], spaces[:-1]])))
+        buffer = buffer[one]
+        offsets = np.concatenate([[0], np.flatnonzero(buffer == 0x20) + 1]).astype(np.int32)
+        # Arrow finds the distinct words
+        words = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(buffer)]).dictionary_encode()
+        ids, first = self._words(b"".join(words.dictionary.to_pylist()).decode())
+        which = words.indices.to_numpy()
+        start, count = first[which], np.diff(first)[which]
+        row = ids[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())]
         ends = np.flatnonzero(row == _MARK)
         row[ends] = end_id
         return np.split(row, ends[:-1] + 1)
 
-    def _words(self, padded: list[bytes]) -> list[bytes]:
-        """Ids of distinct words."""
-        for table in (self.words, self.pieces):
-            if len(table) > _CACHED:
-                table.clear()
-        # a line feed stands for no id of the vocabulary, so it marks the ends
-        self.words[b"\n"] = _MARK.tobytes()
-        words = [w.rstrip(b" ") for w in padded]
-        found = list(map(self.words.get, words))
-        new = list({w for w, ids in zip(words, found, strict=True) if ids is None})
-        if new:
-            # all pieces of all new words in a row; a line feed, here of no ids, ends each word
-            known = self.pieces
-            known["\n"] = b""
-            row = self._PIECE.findall(b"\n".join(new).decode() + "\n")
-            unknown = list(set(row).difference(known))
-            known.update(zip(unknown, self._together(unknown), strict=True))
-            parts = list(map(known.__getitem__, row))
-            sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-            stops, raw = np.cumsum(sizes)[sizes == 0].tolist(), b"".join(parts)
-            self.words.update(zip(new, (raw[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-            found = list(map(self.words.__getitem__, words))
-        return found
+    def _words(self, words: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and where each word's begin and the last one's end; a space ends each word."""
+        if len(self.pieces) > _CACHED:
+            self.pieces.clear()
+        known, row = self.pieces, self._PIECE.findall(words)
+        # a line feed stands for no id of the vocabulary, so it marks the ends of texts; a space has no ids
+        known["\n"], known[" "] = _MARK.tobytes(), b""
+        unknown = list(set(row).difference(known))
+        known.update(zip(unknown, self._together(unknown), strict=True))
+        parts = list(map(known.__getitem__, row))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        stops = (np.cumsum(sizes) >> 2)[sizes == 0]
+        return np.frombuffer(b"".join(parts), np.uint32), np.concatenate([[0], stops])
 
 
 _MARK = np.uint32(0xFFFFFFFF)
@@ -207,24 +196,26 @@ def _write(path: str, dictionary: bytes, end_id: int, width: int, level: int):
 
 
 def _sampled(docs: DataFrame, sample: int) -> DataFrame:
-    """h, text: SAMPLE_CHARS characters, from a place drawn by hash, of each of at most ``sample`` documents of the whole table.
+    """h, text: the ``sample`` pieces with the least hash, of all pieces of PIECE characters that all whole texts are cut into.
 
-    The documents are those with the least hash of doc_id and text, wherever they stand.
+    A piece's hash is that of its text's doc_id and hash and of its number, so neither files nor order of rows matter.
     """
-    t = F.xxhash64("text")
-    room = F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1
-    piece = F.substring("text", (F.pmod(t, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    return least_by_hash(docs.where("text is not null").select("doc_id", t.alias("h"), piece.alias("text")), sample, "doc_id", "h").select("h", "text")
+    h = lambda i: F.xxhash64("doc_id", "t", i)
+    texts = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("t"), F.floor((F.char_length("text") - 1) / PIECE).cast("int").alias("last"), "text")
+    numbers = F.sequence(F.lit(0), F.col("last"))
+    cut = cut_step(texts.select("doc_id", "t", F.explode(numbers).alias("i")), h("i"), sample)
+    taken = F.transform(F.filter(numbers, lambda i: step_of(h(i)) <= cut), lambda i: F.struct(h(i).alias("h"), F.substring(F.col("text"), i * PIECE + 1, F.lit(PIECE)).alias("text")))
+    return texts.select(F.explode(taken).alias("piece")).select("piece.*").orderBy("h", "text").limit(sample)
 
 
-def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = SAMPLE_DOCS) -> bytes:
-    """A zstandard dictionary from the serialized ids of pieces of at most ``sample`` documents, drawn by hash from all.
+def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = SAMPLE) -> bytes:
+    """A zstandard dictionary from the serialized ids of ``sample`` pieces, drawn by hash from all pieces of all texts.
 
     It depends on the rows only, not on their order or files. The dictionary changes how small the files are, not what
     they hold. Empty (no dictionary) if the corpus is too small to train one.
     """
-    rows = sorted(_sampled(docs, sample).collect(), key=lambda r: (r["h"], r["text"]))
-    samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([r["text"].encode() for r in rows if r["text"].strip()], end_id)]
+    texts = [r["text"].encode() for r in _sampled(docs, sample).collect()]
+    samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([t for t in texts if t.strip()], end_id)]
     if sum(map(len, samples)) < 16 * 1024 or len(samples) < 50:
         return b""
     try:

@@ -228,9 +228,10 @@ def test_dictionary_is_trained_on_all_sources_and_parts_of_documents(spark):
     first, last = (spark.createDataFrame(rows[::x], "doc_id long, text string, source string").coalesce(1) for x in (1, -1))
     assert tokens.train(first, TOKENIZER, 2, 2, sample=200) == tokens.train(last, TOKENIZER, 2, 2, sample=200) != b""
     taken = [r.text for r in tokens._sampled(first, 200).collect()]
-    assert len(taken) > 100 and {t[0] for t in taken} == {"a", "b"}
-    long = spark.createDataFrame([(i, "x" * 50_000 + "y" * 50_000 + str(i)) for i in range(60)], "doc_id long, text string")
-    assert {t for r in tokens._sampled(long, 60).collect() for t in r.text[:1]} == {"x", "y"}
+    assert len(taken) == 200 and {t[0] for t in taken} == {"a", "b"}
+    long = spark.createDataFrame([(i, "x" * 50_000 + "y" * 50_000 + str(i)) for i in range(60)] + [(99, None), (99, "")], "doc_id long, text string")
+    drawn = [r.text for r in tokens._sampled(long, 60).collect()]
+    assert len(drawn) == 60 and {t[0] for t in drawn} >= {"x", "y"} and tokens._sampled(long, 5000).count() == 60 * 26
 
 
 def test_token_files_of_empty_table(spark):
