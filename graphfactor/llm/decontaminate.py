@@ -1,162 +1,160 @@
 """Benchmark decontamination by winnowing.
 
 Of the k-grams in each window of ``window`` words the one with the least hash is a fingerprint; two texts that share
-a window share its fingerprint. Fingerprints of documents are looked up among those of the benchmark, and each hit
-is extended to the windows around it, which are compared in full. The benchmark's index is broadcast in blocks of
-items whose number of windows is bounded (BLOCK_WINDOWS), one pass over the documents for each block; the usual
-benchmark is one block, and then documents are never shuffled.
+a window share its fingerprint, so every shared window is found. Neighbouring windows with one fingerprint are a
+*stretch* of words around it.
+
+1. fingerprints of the benchmark and of the documents are joined;
+2. a hit is extended over its stretch: each window of the document's stretch is joined by its words to the windows of the
+   benchmark that have this fingerprint. Words are compared, so a clash of hashes gives no hit;
+3. windows that touch are spans; the items of a text's windows are its items.
+
+An item of fewer than ``window`` words is one window of its own length and goes the same way: windows of each length
+that items have are winnowed. Hits belong to texts, of which equal ones are looked at once. Documents are read once;
+fingerprints that no item can have, by a table of 2 ** BITS bits, are left out before the join, so a benchmark of usual
+size makes few rows, and a large one fills the table and leaves the work to the join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from . import scratch
 from .scratch import in_batches
-from .text import PLAIN, Runs, covered, lowest, slices, word_hashes, words
+from .text import PLAIN, Runs, Spoken, Stretches, signed, slices, stretches, word_hashes, words
 
 #: Words of a fingerprint's k-gram; at most the window.
 GRAM = 5
-#: Windows of the benchmark that one broadcast index holds: about 50 MB.
-BLOCK_WINDOWS = 1_000_000
-
-
-class Index:
-    """Windows of a block of benchmark items, and the fingerprints that lead to them."""
-
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
-        """items: (number of the item, text)."""
-        self.window, self.gram = window, min(GRAM, window)
-        w = words([t for _, t in items], PLAIN, lower=True)
-        runs, counts = Runs(word_hashes(w)), w.counts
-        numbers = np.array([i for i, _ in items], np.int64)
-        owner = np.repeat(np.arange(len(items)), counts)
-        starts = np.arange(max(0, runs.n - window + 1))
-        starts = starts[owner[starts] == owner[starts + window - 1]] if len(starts) else starts
-        grams = runs.every(self.gram)
-        pick = lowest(grams, window - self.gram + 1)
-        #: hashes of windows by their length in words; short items are one window of their own length
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {window: (runs.at(starts, window), numbers[owner[starts]])} if len(starts) else {}
-        self.marks = np.unique(grams[pick[starts]]) if len(starts) else np.empty(0, np.uint64)
-        for n in sorted({*counts[(counts > 0) & (counts < window)].tolist()}):
-            which = np.flatnonzero(counts == n)
-            self.windows[n] = runs.at(w.bounds[which], n), numbers[which]
-        for n, (hashes, owners) in self.windows.items():
-            order = np.lexsort((owners, hashes))
-            self.windows[n] = hashes[order], owners[order]
-
-    def hits(self, runs: Runs, owner: np.ndarray) -> Iterator[tuple[np.ndarray, int, np.ndarray, np.ndarray]]:
-        """Places where windows stand, their length, and the range of their entries in the index."""
-        for n, (hashes, _) in self.windows.items():
-            if runs.n < n:
-                continue
-            if n == self.window:
-                grams = runs.every(self.gram)
-                pick = lowest(grams, n - self.gram + 1)
-                at = np.flatnonzero(_among(grams, self.marks)[pick])
-            else:
-                at = np.arange(runs.n - n + 1)
-            at = at[owner[at] == owner[at + n - 1]]
-            own = runs.at(at, n)
-            low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
-            found = high > low
-            yield at[found], n, low[found], high[found]
-
-
-def _among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(x), bool)
-    # a table of 2**20 bits lets most values pass without a search
-    bits = np.zeros(1 << 20, bool)
-    bits[ordered >> np.uint64(44)] = True
-    maybe = np.flatnonzero(bits[x >> np.uint64(44)])
-    out = np.zeros(len(x), bool)
-    place = np.minimum(np.searchsorted(ordered, x[maybe]), len(ordered) - 1)
-    out[maybe] = ordered[place] == x[maybe]
-    return out
+#: Binary logarithm of the bits that tell which fingerprints the benchmark may have; at least 6.
+BITS = 22
+
+_MARK = pa.struct([("size", pa.int32()), ("print", pa.int64()), ("place", pa.int64()), ("words", pa.string())])
+
+
+def _text_key() -> list[Column]:
+    return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
+
 
+def _marked(texts: list[bytes], sizes: list[int], of_items: bool, bits: np.ndarray | None) -> tuple[np.ndarray, pa.ListArray]:
+    """Number of words of each text, and its fingerprints with their stretches of windows of the given sizes.
 
-def _scan(index):
+    Of items, windows have the last size, and those of shorter items the item's own.
+    """
+    w = words(texts, PLAIN, lower=True)
+    runs, owner, spoken = Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts), Spoken(w)
+    docs, rows = [], []
+    for size in sizes:
+        found = stretches(runs, owner, size, min(GRAM, size))
+        if of_items and size < sizes[-1]:
+            found = Stretches(*(x[w.counts[owner[found.first]] == size] for x in found))
+        if bits is not None:
+            top = found.seed >> np.uint64(64 - int(np.log2(64 * len(bits))))
+            found = Stretches(*(x[(bits[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)] for x in found))
+        doc = owner[found.first]
+        docs.append(doc)
+        columns = [pa.array(np.full(len(doc), size, np.int32)), signed(found.seed), pa.array(found.first - w.bounds[doc]), spoken.take(found.first, found.count + size - 1)]
+        rows.append(pa.StructArray.from_arrays(columns, fields=list(_MARK)))
+    doc = np.concatenate([*docs, np.empty(0, np.int64)])
+    order = np.argsort(doc, kind="stable")
+    offsets = np.searchsorted(doc[order], np.arange(len(texts) + 1))
+    return w.counts, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([*rows, pa.array([], _MARK)]).take(pa.array(order)))
+
+
+def _marks(sizes: list[int], of_items: bool, bits: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = pa.list_(pa.string())
-        spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        held, names = index.value
         for whole in batches:
             for batch, texts in slices(whole):
-                w = words(texts, PLAIN, lower=True)
-                runs, owner = Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts)
-                starts, stops, hit_items = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [set() for _ in texts]
-                for at, n, low, high in held.hits(runs, owner):
-                    starts.append(at)
-                    stops.append(at + n)
-                    items = held.windows[n][1]
-                    for doc, a, b in np.unique(np.stack([owner[at], low, high]), axis=1).T.tolist():
-                        hit_items[doc].update(items[a:b].tolist())
-                hit = covered(np.concatenate(starts), np.concatenate(stops), runs.n)
-                edge = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-                # a span that reaches the end of a text and one at the start of the next are two spans
-                cut = np.unique(w.bounds[1:-1])
-                cut = cut[(cut > 0) & (cut < runs.n)]
-                cut = cut[hit[cut] & hit[cut - 1]]
-                edge = np.sort(np.concatenate([edge, cut, cut]))
-                doc_spans: list[list[dict]] = [[] for _ in texts]
-                for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                    d = int(owner[a])
-                    doc_spans[d].append({"start": a - int(w.bounds[d]), "stop": b - int(w.bounds[d])})
-                carried = [x for x in batch.schema.names if x != "text"]
-                yield pa.RecordBatch.from_arrays(
-                    [*map(batch.column, carried), pa.array(w.counts, pa.int64()), pa.array(doc_spans, spans), pa.array([sorted({names[i] for i in x} - {None}) for x in hit_items], ids)],
-                    [*carried, "n_words", "spans", "items"],
-                )
+                counts, marks = _marked(texts, sizes, of_items, bits)
+                kept = [c for c in batch.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(counts, pa.int64()), marks], [*kept, "n_words", "marks"])
 
     return run
 
 
-def _one_block(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int) -> DataFrame:
-    index = docs.sparkSession.sparkContext.broadcast((Index([(i, t) for i, (_, t) in enumerate(items)], window), [name for name, _ in items]))
-    carried = T.StructType([f for f in docs.schema if f.name != "text"])
-    return docs.transform(in_batches, _scan(index), T.StructType([*carried, *T._parse_datatype_string("n_words long, spans array<struct<start:long,stop:long>>, items array<string>")]))
+_FOUND = "n_words long, marks array<struct<size:int,print:long,place:long,words:string>>"
+
+
+def _windows(marks: DataFrame, *carried: str) -> DataFrame:
+    """One row for each window of the stretches: carried columns, size, print, place, window (its words)."""
+    spoken = F.split("words", " ")
+    starts = F.sequence(F.lit(0), F.size("spoken") - F.col("size"))
+    each = F.transform(starts, lambda j: F.struct((F.col("place") + j).alias("place"), F.array_join(F.slice("spoken", j + 1, F.col("size")), " ").alias("window")))
+    return marks.withColumn("spoken", spoken).select(*carried, "size", "print", F.explode(each).alias("one")).select(*carried, "size", "print", "one.*")
+
+
+def _benchmark(benchmark: DataFrame, window: int) -> DataFrame:
+    """item, size, print, window: every distinct window of the benchmark."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    found = items.transform(in_batches, _marks([*range(1, window + 1)], True), f"item string, {_FOUND}")
+    marks = found.select("item", F.explode("marks").alias("mark")).select("item", "mark.*")
+    return scratch.table(_windows(marks, "item").select("item", "size", "print", "window").distinct(), "benchmark", 1)
+
+
+def _bits(known: DataFrame, bits: int) -> np.ndarray:
+    """Which upper ``bits`` bits the fingerprints have: 2 ** (bits - 6) numbers at most come to the driver."""
+    top = F.shiftrightunsigned("print", 64 - bits)
+    held = known.groupBy(F.shiftright(top, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, int(shiftrightunsigned(print, {64 - bits}) & 63))")).alias("held"))
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    for r in held.collect():
+        out[r["at"]] = np.int64(r["held"]).view(np.uint64)
+    return out
+
+
+def _verified(found: DataFrame, known: DataFrame) -> DataFrame:
+    """t1, t2, size, print, place, window: the windows of documents that stand in the benchmark.
+
+    found: t1, t2, marks; known: size, print, window, ...
+    """
+    marks = found.where("size(marks) > 0").select("t1", "t2", F.explode("marks").alias("mark")).select("t1", "t2", "mark.*")
+    hits = marks.join(known.select("size", "print").distinct(), ["size", "print"])
+    extended = _windows(hits, "t1", "t2")
+    return extended.join(known.select("size", "print", "window").distinct(), ["size", "print", "window"]).distinct()
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    known = _benchmark(benchmark, window)
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    scan = docs.select(*[c for c in docs.columns if c != "text"], *_text_key(), "text")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scan.schema if f.name != "text")
+    found = scratch.table(scan.transform(in_batches, _marks(sizes, False, _bits(known, bits)), f"{kinds}, {_FOUND}"), "marks")
+    return found, known, scratch.table(_verified(found, known), "hits", 1)
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, bits: int = BITS) -> DataFrame:
     """Find the words of docs that lie in a window of a benchmark item.
 
     docs: doc_id and text; benchmark: item_id and text; other columns are not read. A-Z count as a-z; words are runs
     of digits, letters and bytes above 127. A window is ``window`` words in a row of an item; an item of fewer words
     is one window. Returns one row per row of docs: doc_id, n_words, spans (start, stop: hit words from 0), items
-    (sorted distinct item ids, as strings, with a window in the text); with ``carry`` also row, a struct of all
-    columns of docs, so that no name clashes.
+    (sorted distinct item ids, as strings, with a window in the text).
 
     Null or empty texts have no words and no windows. Items with null id are looked for, but not named. Items with
     the same words are all named. Repeated rows of docs each keep their row; repeated items count once. An empty
-    benchmark hits nothing. Every item is used, however many there are: beyond ``block_windows`` windows the items
-    are dealt into blocks by a hash, and the blocks' results are put together.
+    benchmark hits nothing. Every item is used, however many there are.
     """
-    docs = docs.select("doc_id", *([F.struct("*").alias("row")] if carry else []), "text")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // (4 * block_windows)))
-    if blocks == 1:
-        return _one_block(docs, _taken(items), window)
-    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
-    docs = docs.withColumn("t", F.xxhash64("text"))
-    parts = [_one_block(docs, _taken(items.where(F.col("block") == b)), window) for b in range(blocks)]
-    every = reduce(DataFrame.union, [p.select("doc_id", "t", "spans", "items") for p in parts])
-    places = F.flatten(F.collect_list(F.expr("flatten(transform(spans, s -> sequence(s.start, s.stop - 1)))")))
-    found = every.where("size(spans) > 0").groupBy(F.col("doc_id").alias("id"), F.col("t").alias("hash")).agg(F.array_sort(F.array_distinct(places)).alias("places"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("found"))
-    starts = F.expr("filter(places, (p, i) -> i = 0 or get(places, i - 1) < p - 1)")
-    stops = F.expr("filter(places, (p, i) -> i = size(places) - 1 or get(places, i + 1) > p + 1)")
-    found = found.select("id", "hash", F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("stop"))).alias("all"), "found")
-    out = parts[0].join(found, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("t") == F.col("hash")), "left")
-    return out.select("doc_id", *(["row"] if carry else []), "n_words", F.coalesce("all", "spans").alias("spans"), F.coalesce("found", "items").alias("items"))
-
-
-def _taken(items: DataFrame) -> list[tuple[str | None, bytes]]:
-    """One block's items on the driver: its size is bounded by block_windows."""
-    return sorted({(r["item"], bytes(r["text"])) for r in items.collect()}, key=lambda x: (x[0] or "", x[1]))
+    found, known, hits = _scanned(docs.select("doc_id", "text"), benchmark, window, bits)
+    order = Window.partitionBy("t1", "t2").orderBy("place", "stop")
+    apart = F.col("place") > F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    spans = hits.select("t1", "t2", "place", (F.col("place") + F.col("size")).alias("stop")).distinct()
+    spans = spans.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("apart").over(order))
+    spans = spans.groupBy("t1", "t2", "span").agg(F.min("place").alias("start"), F.max("stop").alias("stop"))
+    spans = spans.groupBy("t1", "t2").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+    items = hits.select("t1", "t2", "size", "print", "window").distinct().join(known.where("item is not null"), ["size", "print", "window"])
+    items = items.select("t1", "t2", "item").distinct().groupBy("t1", "t2").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    each = scratch.table(spans.join(items, ["t1", "t2"], "left"), "spans", 1)
+    none = F.array().cast("array<struct<start:long,stop:long>>"), F.array().cast("array<string>")
+    joined = found.select("doc_id", "t1", "t2", "n_words").join(each, ["t1", "t2"], "left")
+    return joined.select("doc_id", "n_words", F.coalesce("spans", none[0]).alias("spans"), F.coalesce("items", none[1]).alias("items"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, bits: int = BITS) -> DataFrame:
+    """The rows of docs, with all their columns, in which ``find`` finds nothing."""
+    *_, hits = _scanned(docs.select("text"), benchmark, window, bits)
+    found = hits.select("t1", "t2").distinct()
+    t1, t2 = _text_key()
+    return docs.join(found, (t1 == found.t1) & (t2 == found.t2), "left_anti")

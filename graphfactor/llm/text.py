@@ -15,11 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 _LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" and os.path.exists("/lib64/ld-linux-x86-64.so.2") else None
 #: Text bytes handled at once; a longer text is handled alone.
 SLICE = 2 << 20
+#: Bytes beyond which a word has another kind of hash.
+_LONG_WORD = 256
 _BASE, _RUN = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 #: Bytes of words in [^\x20\x09-\x0D]+.
@@ -97,7 +100,11 @@ def word_hashes(w: Words) -> np.ndarray:
         s, e = w.starts[i:j] - at, w.ends[i:j] - at
         out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(U)
         i = j
-    return mix(out)
+    out = mix(out)
+    # a polynomial modulo 2**64 has known clashes between long texts of two symbols
+    for i in np.flatnonzero(w.ends - w.starts > _LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(w.buffer[w.starts[i] : w.ends[i]].tobytes())
+    return out
 
 
 class Runs:
@@ -132,6 +139,51 @@ def lowest(values: np.ndarray, width: int) -> np.ndarray:
     return place
 
 
+class Stretches(NamedTuple):
+    """Maximal rows of neighbouring windows whose leftmost least k-gram, the *seed*, is the same one."""
+
+    first: np.ndarray  # first window, as a place among all words
+    count: np.ndarray  # windows
+    place: np.ndarray  # of the seed
+    seed: np.ndarray  # hash of the seed
+
+
+def stretches(runs: Runs, owner: np.ndarray, window: int, k: int) -> Stretches:
+    """Winnowing: the seeds of all windows of ``window`` words that lie within one text; owner: the text of each word.
+
+    A window's seed depends on its words alone, so two places with the same window have the same seed in it.
+    """
+    grams = runs.every(k)
+    pick = lowest(grams, window - k + 1)
+    if not len(pick):
+        return Stretches(*(np.empty(0, np.int64),) * 3, np.empty(0, U))
+    key = np.where(owner[: len(pick)] == owner[window - 1 :], pick, -1)
+    first = np.flatnonzero(np.diff(key, prepend=-2))
+    count = np.diff(first, append=len(key))
+    inside = key[first] >= 0
+    first, count = first[inside], count[inside]
+    return Stretches(first, count, key[first], grams[key[first]])
+
+
+class Spoken:
+    """The words of texts in a row with one space after each, from which any run of words can be taken."""
+
+    def __init__(self, w: Words):
+        self.ends = np.cumsum(np.concatenate([[0], w.ends - w.starts + 1]))
+        edge = np.zeros(len(w.buffer) + 1, np.int8)
+        edge[w.starts] = 1
+        edge[w.ends + 1] -= 1
+        self.row = w.buffer[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        self.row[self.ends[1:] - 1] = 0x20
+
+    def take(self, start: np.ndarray, count: np.ndarray) -> pa.Array:
+        """The ``count`` words from each start, joined by one space."""
+        a, b = self.ends[start], self.ends[start + count] - (np.asarray(count) > 0)
+        offsets = np.concatenate([[0], np.cumsum(b - a)])
+        at = np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], b - a)
+        return pa.StringArray.from_buffers(len(a), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.row[at]))
+
+
 def covered(starts: np.ndarray, stops: np.ndarray, n: int) -> np.ndarray:
     """Which of the places 0..n-1 lie in any of the half-open intervals."""
     delta = np.zeros(n + 1, np.int64)

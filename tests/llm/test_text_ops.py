@@ -111,24 +111,48 @@ def brute_hits(texts, items, window):
     return out
 
 
-@pytest.mark.parametrize("block", [1_000_000, 20])
-def test_decontamination_equals_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [22, 6])
+def test_decontamination_equals_brute_force(spark, bits):
     texts = some_texts(40, 7, words=4)
     rnd = random.Random(8)
     items = [(i, " ".join((rnd.choice(texts) or "").split()[3:14])) for i in range(15)] + [(20, "One"), (21, "one"), (22, None), (23, "!!"), (None, "w1 W2 w3"), (24, "a-B"), (24, "a-B")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("spans", F.lit(1))
-    got = decontaminate.find(table(spark, texts), bench, 5, carry=True, block_windows=block).collect()
+    got = decontaminate.find(table(spark, texts), bench, 5, bits).collect()
     want = brute_hits(texts, items, 5)
     assert len(got) == len(texts)
     for r in got:
         places = [p for s in r.spans for p in range(s.start, s.stop)]
-        assert (r.n_words, places, r["items"]) == want[r.doc_id] and r.row.place == "p"
+        assert (r.n_words, places, r["items"]) == want[r.doc_id]
+        assert all(a.stop < b.start for a, b in zip(r.spans, r.spans[1:]))
+    clean = decontaminate.clean(table(spark, texts), bench, 5, bits).collect()
+    assert {r.doc_id for r in clean} == {i for i, (_, places, _) in enumerate(want) if not places} and len(clean) == len({r.doc_id for r in clean})
+    assert all(r.text == texts[r.doc_id] and r.place == "p" for r in clean)
+
+
+def test_decontamination_of_many_and_long_items(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(400))) for _ in range(60)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(1, 30)))) for i in range(400)] + [(1000 + i, t[100:400]) for i, t in enumerate(texts[:20])]
+    got = decontaminate.find(table(spark, texts * 2), spark.createDataFrame(items, "item_id long, text string"), 6, 8).collect()
+    want = brute_hits(texts, items, 6) * 2
+    assert len(got) == 120 and {r.doc_id: (r.n_words, [p for s in r.spans for p in range(s.start, s.stop)], r["items"]) for r in got} == dict(enumerate(want))
+
+
+def test_decontamination_compares_words_and_not_only_hashes(spark):
+    kind = "t1 long, t2 long, marks array<struct<size:int,print:long,place:long,words:string>>"
+    found = spark.createDataFrame([(1, 1, [(3, 77, 5, "a b c d")]), (2, 2, [(3, 77, 0, "x b c d")]), (3, 3, [(3, 78, 0, "a b c")])], kind)
+    known = spark.createDataFrame([("i", 3, 77, "a b c"), ("j", 3, 77, "b d c")], "item string, size int, print long, window string")
+    assert [(r.t1, r.place, r.window) for r in decontaminate._verified(found, known).collect()] == [(1, 5, "a b c")]
 
 
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.spans, r["items"]) for r in decontaminate.find(table(spark, ["a b"]), none).collect()] == [(2, [], [])]
     assert decontaminate.find(table(spark, []), none).collect() == []
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    assert [(r.doc_id, r.n_words, len(r.spans)) for r in decontaminate.find(table(spark, ["a b", "a b", None], [None, 3, 3]), bench).orderBy("n_words", "doc_id").collect()] == [(3, 0, 0), (None, 2, 1), (3, 2, 1)]
+    assert [r.text for r in decontaminate.clean(table(spark, ["a b", None, "b a"], [None, 3, 3]), bench).orderBy("text").collect()] == [None, "b a"]
 
 
 def brute_groups(texts, ids, width, num, den):
