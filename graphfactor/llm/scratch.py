@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where it is unset (tests on one machine), a temporary one."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset on one machine, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         found = tempfile.mkdtemp(prefix="graphfactor-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -28,10 +30,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Bytes of the files that a plan reads for each of its partitions, at least, where partitions are merged.
+PART_BYTES = 128 << 20
+
+
 def few(df: DataFrame, per_core: int = 4) -> DataFrame:
-    """df in at most ``per_core`` partitions per core of the cluster, merged without a shuffle: as many tasks as keep all
-    cores busy, and no more small files, each of which costs the file system several calls."""
-    return df.coalesce(per_core * df.sparkSession.sparkContext.defaultParallelism)
+    """df with its partitions merged, without a shuffle, to ``per_core`` for each core of the cluster or to one for
+    each PART_BYTES that its plan reads, whichever are more: as many tasks as keep all cores busy and none too
+    large, and no more small files, each of which costs the file system several calls."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.coalesce(min(1 << 30, max(per_core * df.sparkSession.sparkContext.defaultParallelism, read // PART_BYTES)))
 
 
 def table(df: DataFrame, label: str, per_core: int = 4) -> DataFrame:

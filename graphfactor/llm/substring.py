@@ -1,18 +1,22 @@
-"""Substring dedup by winnowed phrase hashing, which replaces Relative Lempel-Ziv parsing.
+"""Substring dedup by Relative Lempel-Ziv parsing.
 
-No text is parsed greedily and no longest match is looked for: repeats are counted by hash over the whole corpus, in
-blocks that are hash partitions, and what is repeated is joined to spans (*factors*). The unit is the *phrase*: of the ``window`` words at each place, the run of SEED words with the least hash
-is the seed, and neighbouring windows with one seed form one phrase, which depends on the words alone. Two places
-with the same ``window`` words therefore have the same seed, so looking up seeds loses no factor of that length.
+The corpus is its own reference. Reference and documents are taken as *stretches*: neighbouring windows of ``window``
+words with one seed (the run of SEED words with the least hash) form a stretch. Two places with the same window
+have the same seed in it, so a document only has to be parsed against the reference blocks that index its seeds: a
+block is a hash partition of the seeds, with one copy of each different stretch around them. Reading every document
+against all other blocks, which is quadratic, would find nothing more.
 
 1. seeds that stand at one place only are dropped (count by seed, then a join, which may split hot seeds);
-2. phrases that occur again in full are factors: all their windows are repeated (count by seed and phrase);
-3. factors end inside a phrase whose seed is known but which differs; these phrases, at factor boundaries, are
-   compared window by window with one copy of each phrase of the same seed;
-4. each document joins its factors to the longest spans and cuts the words they cover.
+2. a stretch that stands elsewhere as a whole is one factor (count by seed and stretch);
+3. each other stretch is parsed greedily against its block, whose words have a suffix array: from its first word on,
+   the longest match with any other stretch of the block is a factor, and the next factor begins behind it;
+4. factors of ``window`` words and more are duplicate spans. A window that crosses factor boundaries is in no factor;
+   these windows are checked one by one for a match of their own;
+5. each document joins its factors to the longest spans and cuts the words they cover.
 
-Phrases and windows are keyed by two independent 64-bit hashes. All counts are combined before they are shuffled;
-what a document gathers is bounded by its own length.
+Blocks compare words; whole stretches and seeds have 64-bit hashes each. All counts are combined before they are
+shuffled; what a document gathers is bounded by its own length. A seed of more than GROUP different stretches would be
+a hot spot of its block, so its windows are counted over the cluster instead, with the same result.
 """
 
 from __future__ import annotations
@@ -26,28 +30,15 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .scratch import in_batches
-from .text import SPACED, Runs, covered, lowest, repeated, signed, slices, word_hashes, words
+from .text import SPACED, Runs, Spoken, covered, repeated, signed, slices, stretches, word_hashes, words
 
 #: Words of a seed; at most the window.
 SEED = 10
+#: Stretches of one seed that a block takes, and stretches after which a block is parsed.
+GROUP, BLOCK = 4096, 4096
 
 
-def _phrases(runs: Runs, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, seed hash and phrase hash of each phrase."""
-    seed = min(SEED, window)
-    grams = runs.every(seed)
-    pick = lowest(grams, window - seed + 1)
-    if not len(pick):
-        return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2
-    key = np.where(owner[: len(pick)] == owner[window - 1 :], pick, -1)
-    first = np.flatnonzero(np.diff(key, prepend=-2))
-    count = np.diff(first, append=len(key))
-    inside = key[first] >= 0
-    first, count = first[inside], count[inside]
-    return first, count, grams[key[first]], runs.at(first, count + window - 1)
-
-
-def _parsed(batch: pa.RecordBatch, texts: list[bytes]):
+def _parsed(texts: list[bytes]):
     w = words(texts, SPACED)
     return w, Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts)
 
@@ -56,34 +47,142 @@ def _find(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole):
-                w, runs, owner = _parsed(batch, texts)
-                first, count, seed, phrase = _phrases(runs, owner, window)
-                doc = owner[first] if len(first) else first
+                w, runs, owner = _parsed(texts)
+                found = stretches(runs, owner, window, min(SEED, window))
+                doc = owner[found.first]
                 yield pa.RecordBatch.from_arrays(
-                    [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), signed(seed), signed(phrase), pa.array((first - w.bounds[doc]) << 16 | count)],
-                    ["d", "t", "seed", "phrase", "place"],
+                    [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), signed(found.seed), signed(runs.at(found.first, found.count + window - 1)), pa.array((found.first - w.bounds[doc]) << 16 | found.count)],
+                    ["d", "t", "seed", "stretch", "place"],
                 )
 
     return run
 
 
-def _windows(window: int):
+def _taken(window: int):
+    """The words of listed stretches, or hashes of the windows of those whose seed is hot."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole):
-                w, runs, _ = _parsed(batch, texts)
-                listed = batch.column("listed")
-                rows = listed.flatten()
-                doc = np.repeat(np.arange(len(texts)), np.diff(listed.offsets.to_numpy()))
-                place = rows.field("place").to_numpy()
-                count = place & 0xFFFF
-                row = np.repeat(np.arange(len(place)), count)
-                at = (place >> 16)[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-                doc = doc[row]
-                yield pa.RecordBatch.from_arrays(
-                    [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), repeated(rows.field("seed"), row), repeated(rows.field("asked"), row), signed(runs.at(at + w.bounds[doc], window)), pa.array(at << 16 | 1)],
-                    ["d", "t", "seed", "asked", "words", "place"],
-                )
+                w, runs, _ = _parsed(texts)
+                spoken, listed = Spoken(w), batch.column("listed")
+                rows, text_of = listed.flatten(), np.repeat(np.arange(len(texts)), np.diff(listed.offsets.to_numpy()))
+                place, hot = rows.field("place").to_numpy(), rows.field("hot").to_numpy(zero_copy_only=False)
+                count = np.where(hot, place & 0xFFFF, 1)
+                for some in _portions(count, 20_000):
+                    row = np.repeat(some, count[some])
+                    doc, nth = text_of[row], np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+                    at, n = (place[row] >> 16) + nth, np.where(hot[row], window, (place[row] & 0xFFFF) + window - 1)
+                    key = pa.array(runs.at(at + w.bounds[doc], n).view(np.int64), mask=~hot[row])
+                    said = spoken.take(at + w.bounds[doc], np.where(hot[row], 0, n))
+                    yield pa.RecordBatch.from_arrays(
+                        [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), repeated(rows.field("seed"), row), repeated(rows.field("asked"), row), key, pa.array(at << 16 | np.where(hot[row], 1, place[row] & 0xFFFF)), said],
+                        ["d", "t", "seed", "asked", "window", "place", "words"],
+                    )
+
+    return run
+
+
+def _portions(sizes: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Places of rows whose sizes add up to about ``limit``."""
+    part = (np.cumsum(sizes) - sizes) // limit
+    yield from np.split(np.arange(len(sizes)), np.flatnonzero(np.diff(part)) + 1)
+
+
+class Block:
+    """Words of stretches with a suffix array, which tells the longest match of every place with any other.
+
+    group: stretches are compared within their group only.
+    """
+
+    def __init__(self, texts: list[bytes], group: np.ndarray):
+        w = words(texts, SPACED)
+        n = len(w.starts)
+        spoken = Spoken(w)
+        told = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(spoken.ends.astype(np.int32)), pa.py_buffer(spoken.row)]).dictionary_encode()
+        self.bounds, at = w.bounds, np.arange(n)
+        owner = np.repeat(np.arange(len(texts)), w.counts)
+        left = w.bounds[1:][owner] - at  # words to the end of the stretch
+        rank = np.unique(group[owner] * np.int64(n + 1) + told.indices.to_numpy(), return_inverse=True)[1]
+        #: rank of the 1, 2, 4, ... words from each place, or of as many as there are
+        ranks, span = [rank], 1
+        while span < left.max(initial=0):
+            behind = np.where(left > span, rank[np.minimum(at + span, n - 1)] + 1, 0)
+            rank = np.unique(rank * np.int64(n + 1) + behind, return_inverse=True)[1]
+            ranks.append(rank)
+            span *= 2
+        order = np.argsort(rank, kind="stable")
+        a, b = order[:-1], order[1:]
+        common = np.zeros(max(n - 1, 0), np.int64)
+        room = np.minimum(left[a], left[b])
+        for k in reversed(range(len(ranks))):
+            step = 1 << k
+            fits = common + step <= room
+            same = fits & (ranks[k][np.minimum(a + common, n - 1)] == ranks[k][np.minimum(b + common, n - 1)])
+            common += np.where(same, step, 0)
+        #: words that the longest match of each place has
+        self.longest = np.zeros(n, np.int64)
+        self.longest[a] = common
+        self.longest[b] = np.maximum(self.longest[b], common)
+
+    def factors(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Greedy parse of the asked stretches: stretch, place and length of each factor; a word without match has length 0."""
+        which, at = asked, self.bounds[asked]
+        out = []
+        while len(at):
+            live = at < self.bounds[which + 1]
+            which, at = which[live], at[live]
+            length = self.longest[at]
+            out.append((which, at, length))
+            at = at + np.maximum(length, 1)
+        return tuple(np.concatenate(x) if out else np.empty(0, np.int64) for x in (zip(*out, strict=True) if out else ((),) * 3))
+
+    def repeats(self, asked: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of the asked stretches that stand elsewhere too: stretch, first window (from 0), number of windows."""
+        which, at, length = self.factors(asked)
+        wide = length >= window
+        # windows that begin before a boundary between two factors and end behind it
+        inner = at[at > self.bounds[which]]
+        crossing = covered(np.maximum(inner - window + 1, 0), inner, len(self.longest))
+        edge = np.flatnonzero(crossing & (self.longest >= window))
+        owner = np.searchsorted(self.bounds, edge, "right") - 1
+        mine = np.zeros(len(self.bounds), bool)
+        mine[asked] = True
+        edge, owner = edge[mine[owner]], owner[mine[owner]]
+        head = np.flatnonzero(np.concatenate([[True], (np.diff(edge) > 1) | (np.diff(owner) > 0)])) if len(edge) else np.empty(0, np.int64)
+        which, first = np.concatenate([which[wide], owner[head]]), np.concatenate([at[wide], edge[head]])
+        count = np.concatenate([length[wide] - window + 1, np.diff(head, append=len(edge))])
+        return which, first - self.bounds[which], count
+
+
+def _factors(window: int):
+    """Parse stretches, which come ordered by seed, block by block; a seed's stretches are in one block."""
+
+    def parsed(block: pa.Table) -> pa.RecordBatch:
+        _, group = np.unique(block.column("seed").to_numpy(), return_inverse=True)
+        texts = block.column("words").combine_chunks().cast(pa.binary()).to_pylist()
+        asked = np.flatnonzero(block.column("asked").combine_chunks().to_numpy(zero_copy_only=False))
+        which, first, count = Block(texts, group).repeats(asked, window)
+        place = block.column("place").to_numpy()[which]
+        taken = block.select(["d", "t"]).take(pa.array(which)).combine_chunks()
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], pa.int64()) for c in taken.columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(((place >> 16) + first) << 16 | count)], ["d", "t", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size < BLOCK:
+                continue
+            block = pa.Table.from_batches(held)
+            seeds = block.column("seed").to_numpy()
+            whole = int(np.searchsorted(seeds, seeds[-1]))
+            if whole:
+                yield parsed(block.slice(0, whole))
+                held, size = block.slice(whole).to_batches(), size - whole
+        if size:
+            yield parsed(pa.Table.from_batches(held))
 
     return run
 
@@ -120,7 +219,7 @@ def _cut(window: int):
     return run
 
 
-def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
+def dedup(docs: DataFrame, window: int = 35, group: int = GROUP) -> DataFrame:
     """Cut every word covered by ``window`` words that also stand elsewhere in the corpus (or in the same text).
 
     docs: doc_id (long) and text; other columns are not read. Words are runs of bytes other than space and tab to
@@ -130,28 +229,33 @@ def dedup(docs: DataFrame, window: int = 35) -> DataFrame:
     Null text: no words, empty kept_text. Texts of fewer than ``window`` words: nothing is cut. Null doc_id and
     repeated rows: each row counts as a document of its own, so the words of a repeated row are all cut if it has
     ``window`` of them. Rows with one doc_id and different texts are different documents. Empty table: no rows.
+    ``group`` changes where stretches are compared (see above), not what is found.
     """
     if not 1 <= window < 1 << 15:
         raise ValueError("window must lie between 1 and 32767 words")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.coalesce("doc_id", F.xxhash64(F.lit("no id"), "text")).alias("d"), F.xxhash64("text").alias("t"), "text")
-    found = rows.select("d", "t", "text").transform(in_batches, _find(window), "d long, t long, seed long, phrase long, place long")
+    found = rows.select("d", "t", "text").transform(in_batches, _find(window), "d long, t long, seed long, stretch long, place long")
     # a table of its own, so that Spark may split the join's partitions of hot seeds
     seeds = scratch.table(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "seeds")
-    found = scratch.table(found.join(seeds, "seed"), "phrases")
-
-    phrases = found.groupBy("seed", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one"))
-    phrases = scratch.table(phrases, "index")
-    factors = found.join(phrases.where("n > 1").select("seed", "phrase"), ["seed", "phrase"]).select("d", "t", "place")
-
-    mixed = phrases.groupBy("seed").agg(F.count("*").alias("n"), F.min("n").alias("least")).where("n > 1 and least = 1").select("seed")
-    borders = phrases.join(mixed, "seed").select("one.d", "one.t", F.struct("one.place", "seed", (F.col("n") == 1).alias("asked")).alias("row"))
-    listed = borders.groupBy("d", "t").agg(F.collect_set("row").alias("listed"))
-    windows = rows.select("d", "t", "text").join(listed, ["d", "t"]).transform(in_batches, _windows(window), "d long, t long, seed long, asked boolean, words long, place long")
-    windows = scratch.table(windows, "windows")
-    again = windows.groupBy("seed", "words").agg(F.count("*").alias("n")).where("n > 1").select("seed", "words")
-    edges = windows.where("asked").join(again, ["seed", "words"]).select("d", "t", "place")
-
-    places = factors.union(edges).groupBy("d", "t").agg(F.collect_set("place").alias("places"))
-    return rows.join(places, ["d", "t"], "left").select("doc_id", "text", "places").transform(in_batches, 
-        _cut(window), "doc_id long, kept_text string, spans array<struct<start:long,stop:long>>, n_words long, n_removed long"
+    found = scratch.table(found.join(seeds, "seed"), "found")
+
+    index = scratch.table(found.groupBy("seed", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one")), "index")
+    factors = found.join(index.where("n > 1").select("seed", "stretch"), ["seed", "stretch"]).select("d", "t", "place")
+
+    mixed = index.groupBy("seed").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    mixed = mixed.select("seed", (F.col("m") > group).alias("hot"))
+    listed = index.join(mixed, "seed").select("one.d", "one.t", F.struct("one.place", "seed", (F.col("n") == 1).alias("asked"), "hot").alias("row"))
+    listed = listed.groupBy("d", "t").agg(F.collect_set("row").alias("listed"))
+    taken = rows.select("d", "t", "text").join(listed, ["d", "t"])
+    taken = scratch.table(taken.transform(in_batches, _taken(window), "d long, t long, seed long, asked boolean, window long, place long, words string"), "reference")
+    parsed = taken.where("window is null").select("d", "t", "seed", "asked", "place", "words").repartition("seed").sortWithinPartitions("seed")
+    parsed = parsed.transform(in_batches, _factors(window), "d long, t long, place long")
+    windows = taken.where("window is not null").select("d", "t", "seed", "asked", "window", "place")
+    again = windows.groupBy("seed", "window").agg(F.count("*").alias("n")).where("n > 1").select("seed", "window")
+    edges = windows.where("asked").join(again, ["seed", "window"]).select("d", "t", "place")
+
+    places = scratch.table(factors.union(parsed).union(edges).groupBy("d", "t").agg(F.collect_set("place").alias("places")), "places")
+    scratch.drop(seeds, found, index, taken)
+    return rows.join(places, ["d", "t"], "left").select("doc_id", "text", "places").transform(
+        in_batches, _cut(window), "doc_id long, kept_text string, spans array<struct<start:long,stop:long>>, n_words long, n_removed long"
     )

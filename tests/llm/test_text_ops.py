@@ -48,16 +48,47 @@ def brute_cut(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window,seed", [(4, 1), (12, 2), (1, 3)])
-def test_substring_dedup_equals_brute_force(spark, window, seed):
+@pytest.mark.parametrize("window,seed,group", [(4, 1, 4096), (12, 2, 4096), (1, 3, 4096), (4, 4, 2), (12, 5, 3)])
+def test_substring_dedup_equals_brute_force(spark, window, seed, group):
     texts = some_texts(60, seed)
-    rows = substring.dedup(table(spark, texts), window).collect()
+    rows = substring.dedup(table(spark, texts), window, group).collect()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in rows}
     assert got == dict(enumerate(brute_cut(texts, window)))
     for r in rows:
         assert sum(s.stop - s.start for s in r.spans) == r.n_removed
 
 
+def test_factors_are_the_greedy_longest_matches():
+    rnd = random.Random(12)
+    for size in (1, 3, 30):
+        texts = [[rnd.choice("abc") for _ in range(rnd.randrange(1, 25))] for _ in range(size)]
+        texts += [t[i:] + ["z"] for t in texts for i in (0, 2) if len(t) > 2]
+        group = np.array([rnd.randrange(3) * 7 for _ in texts])
+        block = substring.Block([" ".join(t).encode() for t in texts], group)
+
+        def longest(i, p):
+            best = 0
+            for j, other in enumerate(texts):
+                for q in range(len(other)):
+                    n = 0
+                    while (i, p) != (j, q) and group[i] == group[j] and p + n < len(texts[i]) and q + n < len(other) and texts[i][p + n] == other[q + n]:
+                        n += 1
+                    best = max(best, n)
+            return best
+
+        want, asked = [], [i for i in range(len(texts)) if i % 3]
+        for i in asked:
+            p = 0
+            while p < len(texts[i]):
+                want.append((i, p, longest(i, p)))
+                p += max(1, want[-1][2])
+        which, at, length = block.factors(np.array(asked, np.int64))
+        assert sorted(zip(which.tolist(), (at - block.bounds[which]).tolist(), length.tolist(), strict=True)) == want
+        for window in (1, 4, 9):
+            repeats = {(int(i), int(a) + k) for i, a, n in zip(*block.repeats(np.array(asked, np.int64), window), strict=True) for k in range(n)}
+            assert repeats == {(i, p) for i in asked for p in range(len(texts[i])) if longest(i, p) >= window}
+
+
 def test_substring_dedup_repeated_rows_null_ids_and_empty_table(spark):
     texts = ["a b c d e f", "a b c d e f", "g h i j", "g h i", None]
     rows = substring.dedup(table(spark, texts, [1, 1, None, None, None]), 4).collect()
