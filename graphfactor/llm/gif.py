@@ -5,6 +5,10 @@ code stream is decoded on arrays. The width of a code depends only on how many c
 so all codes up to the next clear code are cut out at once; a table entry is the text of an earlier code and one more
 byte, which stand side by side in the output, so every output byte is a copy of an earlier one, and following these
 links by doubling resolves them all.
+
+Storing uses what reading follows: bytes are grey pixels of frames that each replace the one before, in code streams
+with table codes. A zero byte is a transparent pixel over the cleared canvas, and every other frame has a palette of
+its own, from white to black.
 """
 
 from __future__ import annotations
@@ -22,7 +26,10 @@ from pyspark.sql import types as T
 from .scratch import in_batches
 from .text import slices
 
-WIDTH, MAX_ROWS = 64, 65_535
+#: Columns of stored pictures, and rows of a frame at most.
+WIDTH, FRAME_ROWS = 64, 1024
+#: Pixels of a canvas beyond which a picture is not decoded, but an error: a few bytes can claim any size.
+MAX_PIXELS = 1 << 26
 _FULL = 1 << 12
 
 
@@ -34,16 +41,8 @@ def _layout(least: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return widths, np.cumsum(widths) - widths
 
 
-def _resolved(links: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    while True:
-        further = links[links]
-        if np.array_equal(further, links):
-            return links
-        links = further
-
-
-def _segment(codes: np.ndarray, least: int) -> np.ndarray:
-    """The bytes of codes that follow a clear code."""
+def _segment(codes: np.ndarray, least: int, wanted: int) -> np.ndarray:
+    """The bytes of codes that follow a clear code, as far as they are wanted (some more may come)."""
     first_entry = (1 << least) + 2
     table = codes >= first_entry
     if not table.any():
@@ -58,6 +57,8 @@ def _segment(codes: np.ndarray, least: int) -> np.ndarray:
         longer = longer + longer[link]
         link = link[link]
     size = longer + 1
+    taken = int(np.searchsorted(np.cumsum(size), wanted)) + 1
+    codes, table, parent, at, size = codes[:taken], table[:taken], parent[:taken], at[:taken], size[:taken]
     start = np.cumsum(size) - size
     code = np.repeat(at, size)
     place = np.arange(len(code))
@@ -90,7 +91,7 @@ def unpack(data: bytes, least: int, wanted: int) -> np.ndarray:
             if stop >= 0 or n < _FULL or int(before[n - 1] + widths[n - 1]) + at + 12 > total:
                 break
             n *= 8
-        got = _segment(codes[: stop if stop >= 0 else n], least)
+        got = _segment(codes[: stop if stop >= 0 else n], least, wanted - have)
         out.append(got)
         have += len(got)
         if stop < 0 or codes[stop] == clear + 1:
@@ -99,16 +100,46 @@ def unpack(data: bytes, least: int, wanted: int) -> np.ndarray:
     return np.concatenate([*out, np.empty(0, np.uint8)])[:wanted]
 
 
-def pack(samples: np.ndarray) -> bytes:
-    """A code stream of 8-bit samples: a clear code, each sample's own code in the widths due, the end code."""
-    codes = np.concatenate([samples.astype("<u2"), np.array([257], "<u2")])
-    n = len(codes)
-    widths = _layout(8, 1 << max(12, int(n).bit_length()))[0][:n]
-    parts = [np.unpackbits(np.array([256], "<u2").view(np.uint8), bitorder="little")[:9]]
-    edges = np.searchsorted(widths, range(9, 14))
-    for width, a, b in zip(range(9, 13), edges, edges[1:], strict=False):
-        parts.append(np.unpackbits(codes[a:b].view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :width].ravel())
-    return np.packbits(np.concatenate(parts), bitorder="little").tobytes()
+def _coded(data: bytes) -> list[int]:
+    """Greedy LZW of 8-bit samples: a clear code first and whenever the table is full, the end code last."""
+    out, table, free = [256], {}, 258
+    emit, known = out.append, table.get
+    rest = iter(data)
+    text = next(rest, None)
+    for sample in rest:
+        longer = known(text << 8 | sample)
+        if longer:
+            text = longer
+            continue
+        emit(text)
+        if free < _FULL:
+            table[text << 8 | sample] = free
+            free += 1
+        else:
+            emit(256)
+            table.clear()
+            free = 258
+        text = sample
+    if text is not None:
+        emit(text)
+    emit(257)
+    return out
+
+
+def pack(data: bytes) -> bytes:
+    """A code stream of 8-bit samples."""
+    codes = np.array(_coded(data), np.int64)
+    clear = np.flatnonzero(codes == 256)
+    # how many codes came since the last clear code; a clear code itself is as wide as the next code would be
+    nth = np.arange(len(codes)) - np.repeat(clear, np.diff(clear, append=len(codes))) - 1
+    nth[clear[1:]] = nth[clear[1:] - 1] + 1
+    nth[0] = 0
+    widths = _layout(8, 1 << 13)[0][nth]
+    offset = np.cumsum(widths) - widths
+    byte, bits = offset >> 3, codes << (offset & 7)
+    n = int(offset[-1] + widths[-1] + 7) >> 3
+    out = sum(np.bincount(byte + i, bits >> (8 * i) & 255, n + 3) for i in range(3))
+    return out[:n].astype(np.uint8).tobytes()
 
 
 def _blocks(data: bytes) -> bytes:
@@ -121,15 +152,19 @@ def _blocks(data: bytes) -> bytes:
 
 
 _GREYS = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_TURNED = _GREYS[::-1], bytes(range(255, -1, -1))
 
 
 def encode(payload: bytes, delay_cs: int = 10) -> bytes:
-    """Bytes (a positive multiple of WIDTH) as grey pictures of WIDTH columns; more than MAX_ROWS rows make more frames."""
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(len(rows), MAX_ROWS), 0xF7, 0, 0), _GREYS]
-    for top in range(0, len(rows), MAX_ROWS):
-        part = rows[top : top + MAX_ROWS]
-        out += [struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 1 << 2, delay_cs, 0, 0), struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, len(part), 0), b"\x08", _blocks(pack(part.ravel()))]
+    """Bytes (a positive multiple of WIDTH) as grey frames of WIDTH columns and FRAME_ROWS rows, the last one of fewer."""
+    size, rows = WIDTH * FRAME_ROWS, len(payload) // WIDTH
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, FRAME_ROWS), 0xF7, 0, 0), _GREYS]
+    for nth, at in enumerate(range(0, len(payload), size)):
+        part, turned = payload[at : at + size], nth % 2
+        # disposal 2 clears the canvas after the frame; zero, in this palette, is clear
+        out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, 2 << 2 | 1, delay_cs, 255 if turned else 0, 0))
+        out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, WIDTH, len(part) // WIDTH, 0x87 if turned else 0))
+        out += [_TURNED[0] if turned else b"", b"\x08", _blocks(pack(part.translate(_TURNED[1]) if turned else part))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -173,12 +208,16 @@ def decode(data: bytes) -> list[Frame]:
         return _decode(data)
     except (IndexError, struct.error) as e:
         raise ValueError(f"the file is cut off ({e})") from e
+    except MemoryError as e:
+        raise ValueError("the pictures don't fit into memory") from e
 
 
 def _decode(data: bytes) -> list[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"a canvas of {width} times {height} pixels")
     at, everywhere = 13, None
     palette = lambda at, flags: np.frombuffer(data, np.uint8, 3 << ((flags & 7) + 1), at).reshape(-1, 3)
     if flags & 0x80:
@@ -275,7 +314,7 @@ def frames(media: DataFrame) -> DataFrame:
     """Decode column media (binary) of each row; all columns stay, with frames and error after them.
 
     frames: array of nth, delay_ms, left, top, width, height, channels, pixels, histogram. A null picture has null
-    frames; a broken one has none and says why in error. Columns of media named frames or error give way.
+    frames; a broken one, and one whose canvas has more than MAX_PIXELS, has none and says why in error. Columns of media named frames or error give way.
     """
     media = media.drop("frames", "error")
     kinds = "array<struct<nth:int,delay_ms:int,left:int,top:int,width:int,height:int,channels:int,pixels:binary,histogram:array<long>>>"

@@ -106,7 +106,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = gif.store(_table(spark, sf_dir, "documents").withColumnRenamed("text", "payload"))
-    read = gif.frames(stored).withColumn("payload", F.expr("aggregate(frames, X'', (a, f) -> concat(a, f.pixels))"))
+    several = F.unhex(F.array_join(F.transform("frames.pixels", F.hex), ""))
+    read = gif.frames(stored).withColumn("payload", F.when(F.size("frames") == 1, F.col("frames")[0]["pixels"]).otherwise(several))
     colours = F.expr("aggregate(frames, transform(sequence(1, 64), x -> 0L), (a, f) -> zip_with(a, f.histogram, (x, y) -> x + y))")
     feature = F.concat(F.lit("frames="), F.size("frames"), F.lit(";ms="), F.expr("aggregate(frames, 0, (a, f) -> a + f.delay_ms)"), F.lit(";colours="), F.array_join(colours, ","))
     return read.select(

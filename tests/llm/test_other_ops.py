@@ -298,6 +298,38 @@ def slow_pack(samples, least, restart):
     return bytes(out) + (bytes([bits & 255]) if have else b"")
 
 
+def slow_pack_full(data):
+    """Greedy LZW of bytes, text by text, with a clear code when the table is full."""
+    codes, table, text = [(256, 9)], {bytes([i]): i for i in range(256)}, b""
+    n = 0  # codes since the clear code
+
+    def width():
+        return max(9, min(258 + max(n - 1, 0), 4095).bit_length())
+
+    for i in range(len(data)):
+        longer = text + data[i : i + 1]
+        if longer in table:
+            text = longer
+            continue
+        codes.append((table[text], width()))
+        n += 1
+        if len(table) + 2 < 4096:
+            table[longer] = len(table) + 2
+        else:
+            codes.append((256, width()))
+            table, n = {bytes([i]): i for i in range(256)}, 0
+        text = data[i : i + 1]
+    if text:
+        codes.append((table[text], width()))
+        n += 1
+    codes.append((257, width()))
+    total = at = 0
+    for code, size in codes:
+        total |= code << at
+        at += size
+    return total.to_bytes((at + 7) // 8, "little")
+
+
 def test_code_streams_decode_as_one_code_at_a_time():
     rnd = random.Random(1)
     for _ in range(120):
@@ -308,8 +340,12 @@ def test_code_streams_decode_as_one_code_at_a_time():
         assert slow_unpack(stream, least, n) == samples
         assert gif.unpack(stream, least, n).tobytes() == samples
         assert gif.unpack(stream[: len(stream) // 2], least, n).tobytes() == slow_unpack(stream[: len(stream) // 2], least, n)
-    samples = np.random.default_rng(2).integers(0, 256, 9000, dtype=np.uint8)
-    assert slow_unpack(gif.pack(samples), 8, 9000) == samples.tobytes()
+    noise = np.random.default_rng(2).integers(0, 256, 30_000, dtype=np.uint8).tobytes()
+    prose = " ".join(rnd.choice(["the", "code", "table", "is", "full", str(rnd.randrange(999))]) for _ in range(9000)).encode()
+    for data in (b"", b"a", b"aa", b"aaaaaaa", noise[:256], noise, prose, b"ab" * 20_000, bytes(70_000)):
+        stream = gif.pack(data)
+        assert stream == slow_pack_full(data) and slow_unpack(stream, 8, len(data)) == gif.unpack(stream, 8, len(data)).tobytes() == data
+    assert len(gif.pack(prose)) < len(prose) / 2
 
 
 def picture(*frames, size=(4, 4), palette=b"\0\0\0\xff\0\0\0\xff\0\0\0\xff"):
@@ -347,8 +383,24 @@ def test_stored_payloads_come_back(spark):
         raw = ([*texts, texts[2]][r.doc_id] or "").encode()
         back = b"".join(bytes(f.pixels) for f in r.frames)
         assert r.n_bytes == len(raw) and len(back) % 64 == 0 and back == raw + bytes(len(back) - len(raw)) and 0 < len(back) < len(raw) + 65
-    tall = np.random.default_rng(1).integers(0, 256, 64 * 70_000, dtype=np.uint8).tobytes()
-    assert len(gif.decode(gif.encode(tall))) == 2 and b"".join(f.pixels for f in gif.decode(gif.encode(tall))) == tall
+    tall = (np.random.default_rng(1).integers(0, 4, 64 * 3000, dtype=np.uint8) * 80).tobytes()
+    data = gif.encode(tall)
+    frames = gif.decode(data)
+    assert [f.height for f in frames] == [1024, 1024, 952] and {f.channels for f in frames} == {1} and b"".join(f.pixels for f in frames) == tall
+    assert data.count(gif._TURNED[0]) == 1 and len(data) < len(tall) / 2
+    # the third byte of each control block: what disposes of the frame, and that a colour is clear
+    assert data.count(b"\x21\xf9\x04\x09") == 3
+
+
+def test_huge_canvases_and_streams_are_errors_of_their_rows(spark):
+    import struct
+
+    claim = b"GIF89a" + struct.pack("<HHBBB", 65_535, 65_535, 0, 0, 0) + b"\x3b"
+    small = gif.encode(b"x" * 64)
+    rows = {r.id: r for r in gif.frames(spark.createDataFrame([(1, bytearray(claim)), (2, bytearray(small))], "id int, media binary")).collect()}
+    assert "65535" in rows[1].error and rows[1].frames == [] and rows[2].error is None and len(rows[2].frames) == 1
+    zeros = gif.pack(bytes(4_000_000))
+    assert gif.unpack(zeros, 8, 1000).tobytes() == bytes(1000) and len(gif.unpack(zeros, 8, 4_000_000)) == 4_000_000
 
 
 # pipeline
