@@ -73,7 +73,7 @@ def _sketches(width: int, k: int):
                 offsets = np.concatenate([[0], np.cumsum(held)])
                 at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - first[:-1], held)
                 sketch = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), signed(hashes[at] >> np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), signed(both[0]), signed(both[1]), sketch], ["doc_id", "n", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(n, pa.int64()), signed(both[0]), signed(both[1]), sketch], ["doc_id", "t", "n", "s1", "s2", "sketch"])
 
     return run
 
@@ -86,7 +86,7 @@ def _fine(width: int, k: int):
                 first = np.searchsorted(doc, np.arange(len(texts) + 1))
                 at = np.flatnonzero(np.arange(len(doc)) - first[doc] < k) if len(doc) else np.empty(0, np.int64)
                 owner = doc[at]
-                yield pa.RecordBatch.from_arrays([repeated(batch.column("doc_id"), owner), pa.array(np.diff(first)[owner], pa.int32()), signed(hashes[at] >> np.uint64(1))], ["c", "n", "v"])
+                yield pa.RecordBatch.from_arrays([repeated(batch.column("c"), owner), pa.array(np.diff(first)[owner], pa.int32()), signed(hashes[at] >> np.uint64(1))], ["c", "n", "v"])
 
     return run
 
@@ -155,8 +155,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: in
     """Those of the pairs (a, b) that are alike: by the sketch of the union, then on full sets."""
     side = lambda x: sketches.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("sketch").alias(f"{x}_sketch"))
     likely = pairs.join(side("a"), "a").join(side("b"), "b").transform(in_batches, _hopeful(num, den, k), "a long, b long")
-    left = likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
+    left = likely.join(texts.select(F.col("c").alias("a"), F.col("text").alias("a_text")), "a")
+    both = left.join(texts.select(F.col("c").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
     return both.transform(in_batches, _alike(width, num, den), "a long, b long").distinct()
 
 
@@ -198,19 +198,21 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
 
     Texts without words (null, empty, blank) are linked with nothing. A row without doc_id can't be named: it is
     linked with nothing, has no component_id and is kept. Rows with one doc_id count as one document, linked with
-    what any of them is like; repeated rows get the same values. Empty table: no rows.
+    what any of them is like: they have one component_id, though each its own n_shingles. Empty table: no rows.
     """
     t = num / den
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = scratch.table(rows.transform(in_batches, _sketches(shingle, k), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
+    made = scratch.table(rows.transform(in_batches, _sketches(shingle, k), "doc_id long, t long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     usable = made.where("doc_id is not null and n > 0")
-    classes = scratch.table(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("c")), "classes", 2)
-    # one row of each class: that of its least doc_id
-    held = usable.join(classes.withColumnRenamed("c", "doc_id"), ["doc_id", "s1", "s2"]).select(F.col("doc_id").alias("c"), "n", "sketch").dropDuplicates(["c", "n"])
+    # a class has a number of its own (which the written table settles) and stands in the text of its least document
+    classes = usable.groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "t")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = scratch.table(classes.select(F.monotonically_increasing_id().alias("c"), "s1", "s2", F.col("one.doc_id").alias("least"), F.col("one.t").alias("t"), "n", "sketch"), "classes", 2)
 
-    playing = _rarest(held.select("c", "n", F.explode("sketch").alias("v")), num, den, k).select("c").distinct()
-    held = scratch.table(held.join(playing, "c"), "playing", 2)
-    texts = scratch.table(rows.join(held.select(F.col("c").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    playing = _rarest(classes.select("c", "n", F.explode("sketch").alias("v")), num, den, k).select("c").distinct()
+    held = scratch.table(classes.join(playing, "c").select("c", "least", "t", "n", "sketch"), "playing", 2)
+    # of repeated rows one counts; the join has dealt them by these columns already
+    texts = rows.join(held.select(F.col("least").alias("doc_id"), "t", "c"), ["doc_id", "t"]).groupBy("doc_id", "t", "c").agg(F.first("text").alias("text"))
+    texts = scratch.table(texts.select("c", "text"), "texts")
 
     entries = texts.transform(in_batches, _fine(shingle, fine), "c long, n int, v long")
     lists = scratch.table(_rarest(entries, num, den, fine), "lists")
@@ -239,12 +241,23 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     rest = one.join(two, ["v", "step"]).where(ordered & (F.col("a_g") != F.col("b_g")) & may_be("a", "b")).select("a", "b").distinct()
     tried = stars.union(stars.select("b", "a"))
     more = scratch.table(_verified(rest.join(tried, ["a", "b"], "left_anti"), held, texts, shingle, num, den, k), "more", 1)
-    if not more.isEmpty():
-        part = components(links.union(more))
-    scratch.drop(held, texts, lists, stars, links, placed, more)
-
-    named = classes.join(part.withColumnRenamed("id", "c"), "c", "left").select("s1", "s2", F.coalesce("component", "c").alias("g"))
-    found = made.join(named, ["s1", "s2"], "left")
-    # a doc_id with several different texts joins their groups
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("g")).otherwise(F.col("doc_id")))
-    return found.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+    # a doc_id that has several texts links their classes
+    many = made.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("low"), F.max(F.struct("s1", "s2")).alias("high")).where("low < high").select("doc_id")
+    shared = scratch.table(made.select("doc_id", "s1", "s2").join(many, "doc_id").distinct(), "shared", 1)
+    held_by = shared.join(classes.select("s1", "s2", "c"), ["s1", "s2"]).select("doc_id", "c")
+    own = held_by.join(held_by.groupBy("doc_id").agg(F.min("c").alias("a")), "doc_id").select("a", F.col("c").alias("b"))
+    own = scratch.table(own.where("a < b").distinct(), "own", 1)
+    if not (more.isEmpty() and own.isEmpty()):
+        scratch.drop(part)
+        part = components(links.union(more).union(own))
+    scratch.drop(held, texts, lists, stars, links, placed, more, own)
+
+    # a component's name is the least doc_id of its classes; classes without links have their own
+    linked = part.withColumnRenamed("id", "c").join(classes.select("c", "least"), "c")
+    lows = linked.groupBy("component").agg(F.min("least").alias("low"))
+    linked = linked.select("c", "component").join(lows, "component").select("c", "low")
+    named = classes.select("s1", "s2", "c", "least").join(linked, "c", "left").select("s1", "s2", F.coalesce("low", "least").alias("g"))
+    whole = scratch.table(shared.join(named, ["s1", "s2"]).groupBy(F.col("doc_id").alias("d")).agg(F.min("g").alias("whole")), "whole", 1)
+    found = made.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").join(whole, F.col("doc_id") == F.col("d"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("whole", F.when(F.col("n") > 0, F.col("g")), "doc_id"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

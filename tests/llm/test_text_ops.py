@@ -229,6 +229,37 @@ def test_near_dedup_edge_rows(spark):
     assert neardup.groups(table(spark, [])).collect() == []
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    base = " ".join(f"v{i}" for i in range(28))
+    rows = neardup.groups(table(spark, [base, "quite another text of this id", base + " x"], [5, 5, 9]), 3, 85, 100).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(5, 5), (9, 5)}
+    rows = neardup.groups(table(spark, ["a b c d", "a b c d", "e f g h", "e f g h", "", "a b c d"], [1, 5, 5, 7, 7, None])).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(1, 1, True), (5, 1, False), (7, 1, False), (None, None, True)}
+
+
+def test_near_dedup_with_repeated_ids_equals_brute_force(spark):
+    rnd = random.Random(21)
+    texts = [t for t in some_texts(70, 9) if t and t.split()]
+    ids = [rnd.randrange(60) for _ in texts]
+    rows = neardup.groups(table(spark, texts, ids), 3, 60, 100).collect()
+    alone = brute_groups(texts, range(len(texts)), 3, 60, 100)
+    up = {}
+
+    def find(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for place, (_, group) in alone.items():
+        for other in (("id", ids[place]), ("group", group)):
+            up[find(("row", place))] = find(other)
+    members = defaultdict(set)
+    for place, i in enumerate(ids):
+        members[find(("row", place))].add(i)
+    want = {i: min(m) for m in members.values() for i in m}
+    assert len(rows) == len(texts) and {(r.doc_id, r.component_id, r.kept) for r in rows} == {(i, g, i == g) for i, g in want.items()}
+
+
 def test_long_documents_with_cut_sketches(spark):
     rnd = random.Random(3)
     texts = []
