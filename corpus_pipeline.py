@@ -21,10 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least doc_id of each group of near-duplicates: shingles of five words, similarity 0.8.
 
-    Of repeated rows of a kept document one stays. Rows without doc_id can't be named in a group and stay.
+    All rows of a doc_id are one document; of rows that are equal in all columns one stays. Rows without doc_id can't
+    be named in a group and stay.
     """
     kept = neardup.groups(docs, shingle=5, num=80, den=100).where("kept and doc_id is not null").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    stay = docs.join(kept, "doc_id", "left_semi").distinct().select(*docs.columns)
     return scratch.few(stay.union(docs.where("doc_id is null")))
 
 
