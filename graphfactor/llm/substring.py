@@ -36,6 +36,8 @@ from .text import SPACED, Runs, Spoken, covered, repeated, signed, slices, stret
 SEED = 10
 #: Stretches of one seed that a block takes, and stretches after which a block is parsed.
 GROUP, BLOCK = 4096, 4096
+#: A stretch with more than this part of all rows is looked up by broadcast: one over HOT.
+HOT = 1000
 
 
 def _parsed(texts: list[bytes]):
@@ -240,7 +242,12 @@ def dedup(docs: DataFrame, window: int = 35, group: int = GROUP) -> DataFrame:
     found = scratch.table(found.join(seeds, "seed"), "found")
 
     index = scratch.table(found.groupBy("seed", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "place")).alias("one")), "index")
-    factors = found.join(index.where("n > 1").select("seed", "stretch"), ["seed", "stretch"]).select("d", "t", "place")
+    # fewer than HOT stretches can have more than 1 / HOT of the rows: these are broadcast, the others shuffled
+    total = index.agg(F.sum("n")).first()[0] or 0
+    key, hot = ["seed", "stretch"], F.col("n") > total // HOT
+    often, seldom = (index.where((F.col("n") > 1) & x).select(key) for x in (hot, ~hot))
+    often = F.broadcast(often)
+    factors = found.join(often, key).union(found.join(often, key, "left_anti").join(seldom, key)).select("d", "t", "place")
 
     mixed = index.groupBy("seed").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     mixed = mixed.select("seed", (F.col("m") > group).alias("hot"))
