@@ -12,6 +12,10 @@ from .operators.values import by_place, row_schema
 from .plans.analyze import Graph
 
 
+#: JSON of timestamps to the microsecond, in UTC.
+_EXACT = {"timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 class Container:
     """Entity lists by name, leaves first.
 
@@ -94,7 +98,7 @@ class Container:
             node = self.graph.by_name[t]
             named = lambda x: F.struct(*(x[p.column].alias(p.json_name(camel)) for p in node.props))
             lists.append(F.transform(name, named).alias(camel_case(name) if camel else name))
-        return self.rows.select("root_id", F.to_json(F.struct(*lists), {"ignoreNullFields": "false"}).alias("json"))
+        return self.rows.select("root_id", F.to_json(F.struct(*lists), {"ignoreNullFields": "false", **_EXACT}).alias("json"))
 
     @staticmethod
     def from_json(graph: Graph, documents: DataFrame) -> Container:
@@ -106,7 +110,7 @@ class Container:
         for t, name in graph.lists.items():
             row = T.StructType([T.StructField(p.json_name(camel), f.dataType) for p, f in zip(graph.by_name[t].props, row_schema(graph, t), strict=True)])
             schema.add(camel_case(name) if camel else name, T.ArrayType(row))
-        parsed = documents.withColumn("x", F.from_json("json", schema))
+        parsed = documents.withColumn("x", F.from_json("json", schema, _EXACT))
         columns = []
         for t, name in graph.lists.items():
             node = graph.by_name[t]

@@ -20,14 +20,6 @@ def pascal_case(name: str) -> str:
     return "".join(part[:1].upper() + part[1:] for part in name.replace("-", "_").split("_"))
 
 
-def plural(name: str) -> str:
-    if name.endswith(("s", "x", "z", "sh", "ch")):
-        return name + "es"
-    if name.endswith("y") and name[-2:-1] not in {"", *"aeiouAEIOU"}:
-        return name[:-1] + "ies"
-    return name + "s"
-
-
 def short_name(full: str) -> str:
     return full.rpartition(".")[2]
 

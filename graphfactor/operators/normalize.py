@@ -2,8 +2,9 @@
 
 A root's whole graph lies in its row, and lists are distinct within one root, so the usual plan needs no shuffle: the
 occurrences of a type are gathered in order of a depth-first walk, array_distinct keeps the first of equal values, and
-a reference becomes its value's place in that list. A type that a root can hold one object of needs neither. For roots with very long lists, whose comparison within a row
-grows with the square of the length, and for lists over all roots, the same lists come from groups and windows.
+a reference becomes its value's place in that list. A type that a root can hold one object of needs neither. For roots
+with very long lists, whose comparison within a row grows with the square of the length, and for lists over all roots,
+the same lists come from groups and windows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from .values import flat_row, occurrences, only_path, plain, row_schema, value
 ROW_LIMIT = 1000
 
 
-def normalize(df: DataFrame, config: GraphConfig, key: str | Column, root: str | None = None, scope: str = "root", strategy: str = "row", on_null_required: str = "error", row_limit: int = ROW_LIMIT) -> Container:
+def normalize(df: DataFrame, config: GraphConfig, key: str | Column, root: str | None = None, scope: str = "root", strategy: str = "row", on_null_required: str = "error", row_limit: int = ROW_LIMIT, nan_distinct: bool = False) -> Container:
     """Factor each row of df, a value of the root type, into the lists of a container.
 
     key: column (or expression) that identifies a root; it is called root_id in the container. scope: "root", lists
@@ -31,6 +32,7 @@ def normalize(df: DataFrame, config: GraphConfig, key: str | Column, root: str |
     shuffle, "shuffle" by groups and joins, or "auto": within the row up to row_limit occurrences of a type, else by
     groups; all three give the same container. on_null_required: "error" or "null", for null in a field that is
     required (metadata required, or not nullable in an explicit catalog) and for null elements of collections.
+    nan_distinct: a value with NaN in a field of its own equals no other, so each of its occurrences is an entry.
     """
     graph = config.compile(root)
     if graph.cyclic:
@@ -39,7 +41,9 @@ def normalize(df: DataFrame, config: GraphConfig, key: str | Column, root: str |
         raise ConfigError("unknown option")
     fields = [f.name for f in config.catalog[graph.root]]
     rows = df.select((F.col(key) if isinstance(key, str) else key).alias("root_id"), F.struct(*(F.col(f"`{f}`") for f in fields)).alias("v"))
-    rows = rows.select("root_id", value(graph, graph.root, F.col("v"), on_null_required).alias("v"))
+    graph.nan_distinct = nan_distinct
+    place = F.coalesce(F.to_json(F.struct("root_id")), F.lit("")) if nan_distinct else None
+    rows = rows.select("root_id", value(graph, graph.root, F.col("v"), on_null_required, place).alias("v"))
     if scope == "global":
         return _by_groups(rows, graph, "global")
     if strategy == "row":

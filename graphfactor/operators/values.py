@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,9 +14,19 @@ from ..plans.catalog import PropKind
 from ..plans.config import ConfigError
 
 
+#: Field of a pruned value that tells values with NaN apart, where these equal nothing.
+_PLACE = "place of NaN"
+
+
+def floats(props: list[Prop]) -> list[Prop]:
+    return [p for p in props if p.kind is PropKind.SIMPLE and isinstance(p.field.dtype, (T.DoubleType, T.FloatType))]
+
+
 def spark_type(graph: Graph, name: str) -> T.StructType:
     """Type of a pruned value: fields that take part, maps as sorted entries."""
     out = T.StructType()
+    if graph.nan_distinct and floats(graph.by_name[name].props):
+        out.add(_PLACE, "string")
     for p in graph.by_name[name].props:
         if p.kind is PropKind.NORMALIZED:
             out.add(p.name, spark_type(graph, p.target))
@@ -35,17 +46,26 @@ def _raise(text: str) -> Column:
     return F.raise_error(F.lit(text))
 
 
-def value(graph: Graph, name: str, e: Column, on_null: str) -> Column:
-    """e with the fields that take part at every depth; null collections are empty."""
+def value(graph: Graph, name: str, e: Column, on_null: str, place: Column | None = None) -> Column:
+    """e with the fields that take part at every depth; null collections are empty. place: where e stands in the table;
+    with it, a value with NaN in a field of its own equals no other."""
     parts = []
-    for p in graph.by_name[name].props:
+    props = graph.by_name[name].props
+    if graph.nan_distinct and floats(props):
+        nan = reduce(Column.__or__, (F.coalesce(F.isnan(e[p.name]), F.lit(False)) for p in floats(props)))
+        parts.append(F.when(nan, place).alias(_PLACE))
+    for i, p in enumerate(props):
         x = e[p.name]
+        below = None if place is None else F.concat(place, F.lit(f".{i}"))
         if p.kind is PropKind.NORMALIZED:
             missing = _raise(f"{name}.{p.name} is required and null") if required(p) and on_null == "error" else F.lit(None)
-            x = F.when(x.isNotNull(), value(graph, p.target, x, on_null)).otherwise(missing)
+            x = F.when(x.isNotNull(), value(graph, p.target, x, on_null, below)).otherwise(missing)
         elif p.kind is PropKind.COLLECTION:
             missing = _raise(f"{name}.{p.name} has a null element") if on_null == "error" else F.lit(None)
-            each = lambda y: F.when(y.isNotNull(), value(graph, p.target, y, on_null)).otherwise(missing)
+            if place is None:
+                each = lambda y: F.when(y.isNotNull(), value(graph, p.target, y, on_null)).otherwise(missing)
+            else:
+                each = lambda y, n: F.when(y.isNotNull(), value(graph, p.target, y, on_null, F.concat(below, F.lit(":"), n.cast("string")))).otherwise(missing)
             x = F.coalesce(F.transform(x, each), F.array().cast(T.ArrayType(spark_type(graph, p.target))))
         elif isinstance(p.field.dtype, T.MapType) and not has_map(p.field.dtype.valueType):
             x = F.array_sort(F.map_entries(x))

@@ -61,6 +61,7 @@ class Graph:
     nodes: list[Node]  # every type after those it refers to
     config: GraphConfig
     diagnostics: list[Diagnostic] = field(default_factory=list)
+    nan_distinct: bool = False  # values with NaN equal nothing
 
     def __post_init__(self) -> None:
         self.by_name = {n.name: n for n in self.nodes}

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 
 from .container import Container
 from .operators.context import EntityContext
-from .operators.cycles import denormalize_objects, normalize_objects
+from .operators.cycles import denormalize_objects, expand, normalize_objects
 from .operators.denormalize import denormalize
 from .operators.normalize import normalize
 from .operators.stats import dedup_stats
 from .plans.catalog import PropertyMode, TypeCatalog, many, ref, simple
 from .plans.config import GraphConfig
 from .shipping import ship
+from .sources.shared import shared_path
+from .sources.store import read_container, write_container
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -387,9 +389,49 @@ def tree_self_cycle(spark, d):
     return _flat_turns(_turns(spark, d))
 
 
-@query(_TURNS)
+def _event_ring(spark, d, tracking: bool) -> DataFrame:
+    """Events of each user in a ring; the value of every third one (but not of the last) is NaN, which equals nothing."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    last = F.max("oid").over(Window.partitionBy("user_id"))
+    events = _t(spark, d, "events").withColumn("oid", F.row_number().over(w).cast("long"))
+    value = F.when((F.col("event_id") % 3 == 0) & (F.col("oid") < last), F.lit(float("nan"))).otherwise(F.col("value"))
+    events = events.select(F.col("user_id").alias("root_id"), "oid", "event_id", value.alias("value"), F.when(F.col("oid") < last, F.col("oid") + 1).otherwise(1).alias("next"))
+    config = GraphConfig(TypeCatalog({"Event": [simple("event_id", "bigint"), simple("value", "double"), ref("next", "Event")]}))
+    graph = config.normalize_graph("Event")
+    if tracking:
+        graph.use_reference_tracking_for_cycles()
+    c = _quiet(lambda: normalize_objects({"Event": events}, events.where("oid = 1").select("root_id", "oid"), config, nan_distinct=True))
+    return c["EventList"].select("root_id", F.col("idx").cast("long").alias("idx"), "event_id", F.isnan("value").alias("is_nan"), F.col("nextIndex").cast("long").alias("next"))
+
+
+_EVENTS = """with e as (select user_id as root_id, event_id, row_number() over (partition by user_id order by event_id) - 1 as idx, count(*) over (partition by user_id) as k from events),
+n as (select *, event_id % 3 = 0 and idx < k - 1 as is_nan from e),
+r as (select root_id, min(idx) filter (not is_nan) as lead from n group by root_id)"""
+
+
+@query(f"{_EVENTS} select root_id, idx, event_id, is_nan, (idx + 1) % k as next from n")
 def reference_tracking(spark, d):
-    return _flat_turns(_turns(spark, d, tracking=True))
+    """The first event, met again at the end of the ring, is recognised by its identity although its value is NaN."""
+    return _event_ring(spark, d, True)
+
+
+@query(f"""{_EVENTS} select root_id, idx, event_id, is_nan, case when idx < k - 1 then idx + 1 when lead > 0 then k else 0 end as next from n join r using (root_id)
+union all select root_id, k + idx, event_id, is_nan, case when idx + 1 < lead then k + idx + 1 else lead end from n join r using (root_id) where idx < lead""")
+def nan_without_tracking(spark, d):
+    """Events with NaN at the head of the ring are entered again at its end."""
+    return _event_ring(spark, d, False)
+
+
+@query(f"""with {_OCC.format(cols="p_brand, p_size")}, k as (select root_id, pos, p_brand, p_size, case when p_size % 5 = 0 then pos end as nan_pos from occ),
+g as (select root_id, p_brand, p_size, nan_pos, min(pos) as first_pos from (select root_id, pos, p_brand, case when nan_pos is null then p_size end as p_size, nan_pos from k) group by all)
+select root_id, row_number() over (partition by root_id order by first_pos) - 1 as idx, p_brand, p_size::double as p_size from g""")
+def nan_distinct(spark, d):
+    """Parts of orders by brand and size, a size that 5 divides being NaN: such a part equals no other."""
+    df = order_lines(spark, d, "p_brand", F.when(F.col("p_size") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("p_size").cast("double")).alias("p_size"))
+    c = normalize(df, _config(df, "Order"), "o_orderkey", nan_distinct=True)
+    return _listed(c, "PartList", "p_brand", F.when(~F.isnan("p_size"), F.col("p_size")).alias("p_size"))
 
 
 @query("""with t as (select conv_id, role, text, row_number() over (partition by conv_id order by turn, role, text) as oid, count(*) over (partition by conv_id) as last from conversations)
@@ -405,50 +447,113 @@ def denormalize_cycle(spark, d):
     return turns.select("root_id", (F.col("oid") + 1).alias("oid"), "role", (F.col("parent") + 1).alias("parent"), (F.get("children", F.lit(0)) + 1).alias("child"))
 
 
-def _ring(spark, d, *hops: str) -> DataFrame:
-    """A ring of types through a nation, its first customer, supplier, ...; each link is a reference to the next."""
-    n = _t(spark, d, "nation").select(F.col("n_nationkey").alias("root_id"), F.col("n_name").alias("name"))
-    first = {
-        "Nation": n,
-        "Customer": _t(spark, d, "customer").groupBy(F.col("c_nationkey").alias("root_id")).agg(F.min("c_name").alias("name")),
-        "Supplier": _t(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("root_id")).agg(F.min("s_name").alias("name")),
-        "Region": _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("root_id"), F.col("r_name").alias("name")),
-    }
-    whole = reduce(lambda a, b: a.join(b.select("root_id"), "root_id", "left_semi"), [first[h] for h in hops])
-    one = F.lit(1).cast("long")
-    tables = {h: first[h].join(whole.select("root_id"), "root_id", "left_semi").select("root_id", one.alias("oid"), "name", one.alias("next")) for h in hops}
-    types = {h: [simple("name", "string"), ref("next", hops[(i + 1) % len(hops)])] for i, h in enumerate(hops)}
+def _numbered(df: DataFrame, by: str) -> DataFrame:
+    """root_id, oid (from 1 in order of ``by``) and the other columns."""
+    from pyspark.sql import Window
+
+    return df.withColumn("oid", F.row_number().over(Window.partitionBy("root_id").orderBy(by)).cast("long"))
+
+
+def _all(df: DataFrame) -> DataFrame:
+    """The oids of each root's objects, in order."""
+    return df.groupBy("root_id").agg(F.array_sort(F.collect_list("oid")).alias("many"))
+
+
+def _nation_cycle(tables: dict[str, DataFrame], types: dict) -> DataFrame:
+    """root_id, list, idx, name, next: index of the reference, or indices of the collection, joined by commas."""
     config = GraphConfig(TypeCatalog(types))
-    config.normalize_graph(hops[0])
-    c = _quiet(lambda: normalize_objects(tables, whole.select("root_id", one.alias("oid")), config))
-    frames = [c[x].select("root_id", F.lit(x).alias("list"), F.col("idx").cast("long").alias("idx"), "name", F.col("nextIndex").cast("long").alias("next")) for x in c]
-    return reduce(DataFrame.union, frames)
-
-
-def _ring_sql(*hops: str) -> str:
-    tables = {
-        "Nation": "select n_nationkey as root_id, n_name as name from nation",
-        "Customer": "select c_nationkey as root_id, min(c_name) as name from customer group by 1",
-        "Supplier": "select s_nationkey as root_id, min(s_name) as name from supplier group by 1",
-        "Region": "select n_nationkey as root_id, r_name as name from nation join region on n_regionkey = r_regionkey",
-    }
-    keys = " intersect ".join(f"select root_id from ({tables[h]})" for h in hops)
-    return " union all ".join(f"select root_id, '{h}List' as list, 0::bigint as idx, name, 0::bigint as next from ({tables[h]}) where root_id in ({keys})" for h in hops)
+    config.normalize_graph("Nation")
+    c = _quiet(lambda: normalize_objects(tables, tables["Nation"].select("root_id", "oid"), config))
 
+    def told(x: str) -> DataFrame:
+        link = next(f for f in types[x.removesuffix("List")] if f.target)
+        shown = F.array_join(F.col(f"{link.name}Indices").cast("array<string>"), ",") if link.many else F.col(f"{link.name}Index").cast("string")
+        return c[x].select("root_id", F.lit(x).alias("list"), F.col("idx").cast("long").alias("idx"), "name", shown.alias("next"))
 
-@query(_ring_sql("Nation", "Customer"))
-def mutual_cycle(spark, d):
-    return _ring(spark, d, "Nation", "Customer")
+    return reduce(DataFrame.union, [told(x) for x in c])
 
 
-@query(_ring_sql("Nation", "Customer", "Supplier"))
-def triangle_cycle(spark, d):
-    return _ring(spark, d, "Nation", "Customer", "Supplier")
+def _nations(spark, d, customers: DataFrame) -> DataFrame:
+    n = _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("root_id"), F.lit(1).cast("long").alias("oid"), F.col("n_name").alias("name"))
+    return n.join(_all(customers), "root_id", "left").withColumnRenamed("many", "customers")
+
+
+def _members(spark, d) -> DataFrame:
+    """Customers of each nation: root_id, oid, c_custkey, name, c_mktsegment."""
+    found = _t(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("root_id"), "c_custkey", F.col("c_name").alias("name"), "c_mktsegment")
+    return _numbered(found.join(_t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("root_id")), "root_id", "left_semi"), "c_custkey")
+
+
+_NATION_CUSTOMERS = """c as (select n_nationkey::bigint as root_id, c_custkey, c_name, c_mktsegment, row_number() over (partition by n_nationkey order by c_custkey) - 1 as idx from customer join nation on n_nationkey = c_nationkey)"""
+_NATION_LIST = """select n_nationkey::bigint as root_id, 'NationList' as list, 0::bigint as idx, n_name as name, coalesce((select string_agg(idx::varchar, ',' order by idx) from c where c.root_id = n_nationkey), '') as next from nation"""
+
+
+@query(f"with {_NATION_CUSTOMERS} {_NATION_LIST} union all select root_id, 'CustomerList', idx, c_name, '0' from c")
+def mutual_cycle(spark, d):
+    """A nation has customers, and each customer has its nation."""
+    customers = _members(spark, d).withColumn("nation", F.lit(1).cast("long"))
+    types = {"Nation": [simple("name", "string"), many("customers", "Customer")], "Customer": [simple("name", "string"), ref("nation", "Nation")]}
+    return _nation_cycle({"Nation": _nations(spark, d, customers), "Customer": customers}, types)
 
 
-@query(_ring_sql("Nation", "Customer", "Supplier", "Region"))
+@query(f"""with {_NATION_CUSTOMERS}, s as (select root_id, c_mktsegment, row_number() over (partition by root_id order by min(idx)) - 1 as idx from c group by root_id, c_mktsegment)
+{_NATION_LIST} union all select root_id, 'CustomerList', c.idx, c_name, s.idx::varchar from c join s using (root_id, c_mktsegment) union all select root_id, 'SegmentList', idx, c_mktsegment, '0' from s""")
+def triangle_cycle(spark, d):
+    """A nation has customers, these have segments, of which many customers share one, and a segment has its nation."""
+    customers = _members(spark, d)
+    segments = _numbered(customers.select("root_id", F.col("c_mktsegment").alias("name")).distinct(), "name").withColumn("nation", F.lit(1).cast("long"))
+    customers = customers.join(segments.select("root_id", F.col("name").alias("c_mktsegment"), F.col("oid").alias("segment")), ["root_id", "c_mktsegment"])
+    types = {"Nation": [simple("name", "string"), many("customers", "Customer")], "Customer": [simple("name", "string"), ref("segment", "Segment")], "Segment": [simple("name", "string"), ref("nation", "Nation")]}
+    return _nation_cycle({"Nation": _nations(spark, d, customers), "Customer": customers, "Segment": segments}, types)
+
+
+@query(f"""with {_NATION_CUSTOMERS}, o as (select root_id, c_custkey, o_orderkey, o_orderpriority, row_number() over (partition by root_id order by c_custkey, o_orderkey) - 1 as idx from c join orders on o_custkey = c_custkey),
+p as (select root_id, o_orderpriority, row_number() over (partition by root_id order by min(idx)) - 1 as idx from o group by root_id, o_orderpriority)
+{_NATION_LIST} union all select root_id, 'CustomerList', c.idx, c_name, coalesce((select string_agg(o.idx::varchar, ',' order by o.idx) from o where o.c_custkey = c.c_custkey), '') from c
+union all select root_id, 'OrderList', o.idx, o_orderkey::varchar, p.idx::varchar from o join p using (root_id, o_orderpriority) union all select root_id, 'PriorityList', idx, o_orderpriority, '0' from p""")
 def four_hop_cycle(spark, d):
-    return _ring(spark, d, "Nation", "Customer", "Supplier", "Region")
+    """A nation has customers, these have orders, these have priorities, and a priority has its nation."""
+    customers = _members(spark, d)
+    orders = _t(spark, d, "orders").join(customers.select("root_id", "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = _numbered(orders.select("root_id", "o_orderkey", "c_custkey", "o_orderpriority", F.col("o_orderkey").cast("string").alias("name")), "o_orderkey")
+    priorities = _numbered(orders.select("root_id", F.col("o_orderpriority").alias("name")).distinct(), "name").withColumn("nation", F.lit(1).cast("long"))
+    orders = orders.join(priorities.select("root_id", F.col("name").alias("o_orderpriority"), F.col("oid").alias("priority")), ["root_id", "o_orderpriority"])
+    held = orders.groupBy("root_id", "c_custkey").agg(F.array_sort(F.collect_list("oid")).alias("orders"))
+    customers = customers.join(held, ["root_id", "c_custkey"], "left")
+    types = {
+        "Nation": [simple("name", "string"), many("customers", "Customer")],
+        "Customer": [simple("name", "string"), many("orders", "Order")],
+        "Order": [simple("name", "string"), ref("priority", "Priority")],
+        "Priority": [simple("name", "string"), ref("nation", "Nation")],
+    }
+    return _nation_cycle({"Nation": _nations(spark, d, customers), "Customer": customers, "Order": orders, "Priority": priorities}, types)
+
+
+_SEEN = """with v as (select user_id as root_id, event_id, date_trunc('day', ts) + to_microseconds((event_id % 3)::bigint) as stamp, (date_trunc('day', ts))::date as day, event_type as kind, (event_id % 2)::decimal(9, 3) / 8 as share from events),
+o as (select *, row_number() over (partition by root_id order by event_id) as pos from v),
+g as (select root_id, stamp, day, kind, share, min(pos) as first from o group by all)"""
+
+
+@query(f"{_SEEN} select root_id, row_number() over (partition by root_id order by first) - 1 as idx, epoch_us(stamp) as at_us, epoch_us(stamp) as local_us, day::varchar as day, kind, share::double as share from g")
+def cycle_typed_keys(spark, d):
+    """What a user did, in a cycle of the user and deeds; equality of timestamps is to the microsecond."""
+    events = _t(spark, d, "events")
+    local = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    local = (local + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), ((F.col("event_id") % 3) / F.lit(1_000_000)).cast("decimal(18,6)"))).cast("timestamp_ntz")
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', local)")
+    raw = F.array(F.col("event_id") % 2 == 0)
+    deeds = events.select(F.col("user_id").alias("root_id"), "event_id", local.alias("local"), F.col("event_type").alias("kind"), ((F.col("event_id") % 2) / 8).cast("decimal(9,3)").alias("share"), raw.alias("raw"))
+    deeds = deeds.withColumn("at", F.timestamp_micros(micros)).withColumn("day", F.col("local").cast("date"))
+    deeds = _numbered(deeds, "event_id").withColumn("user", F.lit(1).cast("long"))
+    users = _all(deeds).withColumnRenamed("many", "deeds").withColumn("oid", F.lit(1).cast("long"))
+    types = {
+        "User": [many("deeds", "Deed")],
+        "Deed": [simple("at", "timestamp"), simple("local", "timestamp_ntz"), simple("day", "date"), simple("kind", "string"), simple("share", "decimal(9,3)"), simple("raw", "array<boolean>"), ref("user", "User")],
+    }
+    config = GraphConfig(TypeCatalog(types))
+    config.normalize_graph("User")
+    c = _quiet(lambda: normalize_objects({"User": users, "Deed": deeds}, users.select("root_id", "oid"), config))
+    return c["DeedList"].select("root_id", F.col("idx").cast("long").alias("idx"), F.unix_micros("at").alias("at_us"), micros.alias("local_us"), F.col("day").cast("string").alias("day"), "kind", F.col("share").cast("double").alias("share"))
 
 
 @query("select * from (values ('R', 0::bigint, '1,1', false), ('X', 1, '2', true), ('a', 2, '', false)) as t(label, idx, children, lossy)")
@@ -527,3 +632,99 @@ def growing_list(spark, d):
     lists = EntityContext(spark)
     parts = [lists.get_or_add_index("Nation", rows.where(F.col("c_custkey") % 2 == x), "c_custkey") for x in (1, 0)]
     return parts[0].union(parts[1])
+
+
+@query(_BRANDS)
+def graph_property_mode(spark, d):
+    """Explicit fields only, for the whole graph, with the types' options given in the graph's."""
+    df = order_lines(spark, d, "p_brand", "p_size", "p_name")
+    config = GraphConfig(TypeCatalog.from_schema("Order", df.schema))
+    config.normalize_graph("Order", lambda g: g.use_property_mode(PropertyMode.EXPLICIT_ONLY).for_type("Order", lambda t: t.include("lines")).for_type("Part", lambda t: t.include("p_brand")))
+    return _listed(normalize(df, config, "o_orderkey"), "PartList", "p_brand")
+
+
+@query("""with m as (select * from (values ('n_name', 'name of a nation'), ('n_nationkey', ''), ('regionIndex', '')) as t(field, note)) select n_nationkey as root_id, field, note from nation, m""")
+def copied_attributes(spark, d):
+    """Each nation with its columns and the notes that these carry: metadata of simple fields is copied."""
+    df = _nation_region(spark, d).select("n_nationkey", _as(F.col("n_name"), "n_name", note="name of a nation"), "region")
+    frame = normalize(df, _config(df, "Nation", lambda g: g.copy_source_attributes()), "n_nationkey")["NationList"]
+    notes = F.array(*(F.struct(F.lit(f.name).alias("field"), F.lit(f.metadata.get("note", "")).alias("note")) for f in frame.schema if f.name not in ("root_id", "idx")))
+    return frame.select("root_id", F.explode(notes).alias("x")).select("root_id", "x.*")
+
+
+@query("select n_nationkey as root_id, n_name, r_name from nation join region on n_regionkey = r_regionkey")
+def named_views(spark, d):
+    """Lists as views under the names that with_name gave to their types, joined in SQL."""
+    df = _nation_region(spark, d)
+    config = _config(df, "Nation")
+    config.for_type("Nation").with_name("lands")
+    config.for_type("Region").with_name("parts_of_the_world")
+    normalize(df, config, "n_nationkey").create_views()
+    return spark.sql("select l.root_id, n_name, r_name from lands l join parts_of_the_world p on p.root_id = l.root_id and p.idx = l.regionIndex")
+
+
+@query("""with top as (select max(n_nationkey) * 2 as m from nation)
+select i as idx, case when i % 6 = 0 then 'over ' || n_name else n_name end as name from (select unnest(range(0, (select m from top) + 1)) as i) left join nation on n_nationkey * 2 = i""")
+def positional_upsert(spark, d):
+    """Nations put at every second place of a list, then every third of them once more over what is there."""
+    nations = _t(spark, d, "nation").select((F.col("n_nationkey") * 2).alias("idx"), F.col("n_name").alias("name"))
+    lists = EntityContext(spark)
+    lists.add_to_collection("Nation", nations)
+    lists.add_to_collection("Nation", nations.where("idx % 6 = 0").withColumn("name", F.concat(F.lit("over "), "name")))
+    return lists.collection("Nation").select("idx", "name")
+
+
+@query("select c_custkey as source, case when c_custkey % 2 = 1 then c_nationkey::bigint when c_custkey % 4 = 0 then -1::bigint end as idx from customer")
+def tracked_objects(spark, d):
+    """Customers tracked with an index, some of them twice: the first index stays."""
+    customers = _t(spark, d, "customer")
+    lists = EntityContext(spark)
+    lists.track(customers.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("source"), F.col("c_nationkey").alias("idx")))
+    lists.track(customers.where("c_custkey % 2 = 1 or c_custkey % 4 = 0").select(F.col("c_custkey").alias("source"), F.lit(-1).alias("idx")))
+    return lists.tracked(customers.select(F.col("c_custkey").cast("long").alias("source"))).select("source", "idx")
+
+
+@query(f"""with {_OCC.format(cols="case when l_linenumber % 2 = 0 then lower(l_returnflag) else l_returnflag end as flag")}, g as (select root_id, flag, min(pos) as p from occ group by all)
+select root_id, row_number() over (partition by root_id order by p) - 1 as idx, flag from g""")
+def ordinal_strings(spark, d):
+    """Strings that differ in case are different."""
+    df = order_lines(spark, d, F.when(F.col("l_linenumber") % 2 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")).alias("flag"))
+    return _listed(normalize(df, _config(df, "Order"), "o_orderkey"), "PartList", "flag")
+
+
+@query(f"""with {_OCC.format(cols="(l_linenumber % 3)::decimal(9, 2) / 4 as amount, [p_brand, l_returnflag] as pair, l_shipdate::date as day")}, g as (select root_id, amount, pair, day, min(pos) as p from occ group by all)
+select root_id, row_number() over (partition by root_id order by p) - 1 as idx, amount::double as amount, array_to_string(pair, '|') as pair, day::varchar as day from g""")
+def values_of_many_types(spark, d):
+    """Decimals, arrays, binaries and dates are compared by value."""
+    amount = ((F.col("l_linenumber") % 3).cast("decimal(9,2)") / 4).cast("decimal(9,2)").alias("amount")
+    pair = F.array("p_brand", "l_returnflag").alias("pair")
+    df = order_lines(spark, d, amount, pair, F.col("l_shipdate").cast("date").alias("day"), F.col("p_brand").cast("binary").alias("raw"))
+    return _listed(normalize(df, _config(df, "Order"), "o_orderkey"), "PartList", F.col("amount").cast("double").alias("amount"), F.array_join("pair", "|").alias("pair"), F.col("day").cast("string").alias("day"))
+
+
+@query("select c_custkey as root_id, c_name, case when c_custkey % 3 <> 0 then 0::bigint end as nation_index, case when c_custkey % 3 <> 0 then 1 else 0 end::bigint as n from customer")
+def required_null_as_null(spark, d):
+    """A required reference that is null, taken as null."""
+    df = _customer_nation(spark, d, True)
+    df = df.select("c_custkey", "c_name", _as(F.col("nation"), "nation", **_e("Nation", required=True)))
+    rows = normalize(df, _config(df, "Customer"), "c_custkey", on_null_required="null").rows
+    return rows.select("root_id", F.col("CustomerList")[0]["c_name"].alias("c_name"), F.col("CustomerList")[0]["nationIndex"].cast("long").alias("nation_index"), F.size("NationList").cast("long").alias("n"))
+
+
+@query(ORACLE_SQL["denormalize_roundtrip"])
+def stored_container(spark, d):
+    """A container written as Parquet, read and rebuilt."""
+    df = order_lines(spark, d, "p_brand", "p_size")
+    c, path = normalize(df, _config(df, "Order"), "o_orderkey"), shared_path(spark, "container")
+    write_container(c, path)
+    back = denormalize(read_container(spark, path, c.graph)).select("root_id", F.posexplode("lines").alias("pos", "x"))
+    return back.select("root_id", F.col("pos").cast("long").alias("pos"), "x.*")
+
+
+@query("""with t as (select conv_id, role, row_number() over (partition by conv_id order by turn, role, text) as oid from conversations)
+select a.conv_id as root_id, a.role, b.role as second, c.role as third from t a left join t b on b.conv_id = a.conv_id and b.oid = 2 left join t c on c.conv_id = a.conv_id and c.oid = 3 where a.oid = 1""")
+def expanded_cycle(spark, d):
+    """The first turns of conversations as nested structs, two references deep."""
+    value = expand(_turns(spark, d, cycle_key="oid"), 2)
+    second = F.get("value.children", F.lit(0))
+    return value.select("root_id", "value.role", second["role"].alias("second"), F.get(second["children"], F.lit(0))["role"].alias("third"))

@@ -1,8 +1,10 @@
 """Factoring and rebuilding: fixtures, options, edge cases and random graphs."""
 
+import datetime as dt
 import json
 import random
 import warnings
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +21,7 @@ from graphfactor.operators.stats import dedup_stats
 from graphfactor.plans.analyze import analyze
 from graphfactor.plans.catalog import PropertyMode, PropKind, TypeCatalog, many, ref, simple
 from graphfactor.plans.config import ConfigError, GraphConfig
+from graphfactor.sources.shared import shared_path
 from graphfactor.sources.store import read_container, write_container, write_json
 from graphfactor.streaming.stream import factor_stream
 
@@ -260,7 +263,6 @@ def test_same_short_names_and_json(spark):
 
 def test_names():
     assert [naming.camel_case(x) for x in ("Person", "ID", "XMLParser", "already", "", "A", "IOStream")] == ["person", "id", "xmlParser", "already", "", "a", "ioStream"]
-    assert [naming.plural(x) for x in ("Box", "City", "Day", "Bush", "Person")] == ["Boxes", "Cities", "Days", "Bushes", "Persons"]
     assert naming.row_type("a.b.Person") == "a.b.NormalizedPerson" and naming.container_type("Person") == "NormalizedPersonResult"
 
 
@@ -403,6 +405,101 @@ def test_random_cyclic_graphs_equal_sequential_factoring(spark, name):
             assert [x for _, x in sorted(found.get(i, {}).items())] == lists[t], (t, i)
 
 
+def nearby(kind, rnd):
+    """Values of a type, of which some are equal and some differ in their last digit only."""
+    micros = lambda: dt.timedelta(microseconds=rnd.randrange(3), milliseconds=rnd.randrange(2))
+    start = dt.datetime(2024, 3, 31, 1, 59, 59, 999_000)
+    return {
+        "timestamp": lambda: start.replace(tzinfo=dt.UTC) + micros(),
+        "timestamp_ntz": lambda: start + micros(),
+        "date": lambda: dt.date(1, 1, 1) + dt.timedelta(days=rnd.randrange(3)),
+        "double": lambda: rnd.choice([0.0, -0.0, 0.1, 0.1 + 2**-56, 1e300, float("inf"), float("nan"), 5e-324]),
+        "float": lambda: rnd.choice([0.0, -0.0, 0.5, 0.5 + 2**-24, float("-inf")]),
+        "decimal(38,18)": lambda: Decimal(rnd.choice(["1", "1.000000000000000001", "12345678901234567890.000000000000000001", "0E-18"])),
+        "bigint": lambda: rnd.choice([2**63 - 1, 2**63 - 2, -(2**63), 2**53, 2**53 + 1]),
+        "binary": lambda: bytearray(rnd.choice([b"", b"\0", b"\xff\xfe", b"\xff\xff"])),
+        "string": lambda: rnd.choice(["a", "A", "é", "e\u0301", '"', "\\", "\0", "null", ""]),
+        "boolean": lambda: rnd.random() < 0.5,
+        "array<timestamp_ntz>": lambda: [start + micros() for _ in range(rnd.randrange(3))],
+        "map<string,timestamp_ntz>": lambda: {k: start + micros() for k in rnd.sample("ab", rnd.randrange(3))},
+    }[kind]
+
+
+KINDS = ["timestamp", "timestamp_ntz", "date", "double", "float", "decimal(38,18)", "bigint", "binary", "string", "boolean", "array<timestamp_ntz>", "map<string,timestamp_ntz>"]
+
+
+def shown(x):
+    if isinstance(x, float):
+        return "NaN" if x != x else x + 0.0
+    return bytes(x) if isinstance(x, bytearray) else sorted(x.items()) if isinstance(x, dict) else x
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_values_of_every_type_in_cycles_and_json(spark, kind):
+    rnd = random.Random(kind)
+    draw = nearby(kind, rnd)
+    values = [None, *(draw() for _ in range(40))]
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        kids = spark.createDataFrame([(1, i + 1, v, 1) for i, v in enumerate(values)], f"root_id int, oid long, V {kind}, Up long")
+        up = spark.createDataFrame([(1, 1, list(range(1, len(values) + 1)))], "root_id int, oid long, Kids array<long>")
+        types = TypeCatalog({"Top": [many("Kids", "Kid")], "Kid": [simple("V", kids.schema["V"].dataType), ref("Up", "Top")]})
+        c = normalize_objects({"Top": up, "Kid": kids}, up.select("root_id", "oid"), config(types, "Top"))
+        got = [r.V for r in c["KidList"].orderBy("idx").collect()]
+        want = []
+        for v in values:
+            if shown(v) not in [shown(w) for w in want]:
+                want.append(v)
+        as_read = [r.V for r in spark.createDataFrame([(v,) for v in want], f"V {kind}").collect()]
+        assert [shown(v) for v in got] == [shown(v) for v in as_read]
+        flat = spark.createDataFrame([(1, [(v,) for v in values])], f"id int, kids array<struct<V:{kind}>>")
+        box = normalize(flat, config(TypeCatalog.from_schema("Root", flat.schema), "Root"), "id")
+        back = Container.from_json(box.graph, box.to_json()).rows.first()
+        assert [shown(r.V) for r in back.KidsList] == [shown(r.V) for r in box.rows.first().KidsList] and back.RootList == box.rows.first().RootList
+        assert [shown(r.V) for r in box.rows.first().KidsList] == [shown(v) for v in as_read]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+@pytest.mark.parametrize("strategy,scope", [("row", "root"), ("shuffle", "root"), ("auto", "root"), ("row", "global")])
+def test_nan_may_equal_nothing(spark, strategy, scope):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, [((nan,),), ((nan,),), ((1.0,),), ((1.0,),)]), (2, [((nan,),), ((1.0,),)])], "id int, ls array<struct<p:struct<x:double>>>")
+    cfg = config(TypeCatalog.from_schema("Root", df.schema), "Root")
+    c = normalize(df, cfg, "id", scope=scope, strategy=strategy, row_limit=2, nan_distinct=True)
+    counts = {r.list: r.n for r in c.counts().collect()}
+    assert counts == ({"PList": 5, "LsList": 5, "RootList": 2} if scope == "root" else {"PList": 4, "LsList": 4, "RootList": 2})
+    assert [str(r.ls) for r in denormalize(c).orderBy("root_id").collect()] == [str(r.ls) for r in df.orderBy("id").collect()]
+    assert {r.list: r.n for r in normalize(df, cfg, "id").counts().collect()} == {"PList": 4, "LsList": 4, "RootList": 2}
+
+
+def test_reference_tracking_tells_objects_with_nan_by_identity(spark):
+    nan = float("nan")
+    ring = objects(spark, [(1, 1, nan, 2), (1, 2, nan, 3), (1, 3, 0.5, 1)], "root_id int, oid long, V double, Next long")
+    types, root = TypeCatalog({"N": [simple("V", "double"), ref("Next", "N")]}), spark.createDataFrame([(1, 1)], "root_id int, oid long")
+
+    def links(tracking, rows=ring, **options):
+        cfg = config(types, "N", lambda c: c.normalize_graph("N").use_reference_tracking_for_cycles() if tracking else None)
+        c = normalize_objects({"N": rows}, root, cfg, **options)
+        return [r.NextIndex for r in c["NList"].orderBy("idx").collect()]
+
+    assert links(True, nan_distinct=True) == [1, 2, 0]
+    assert links(False, nan_distinct=True) == [1, 2, 3, 4, 2]
+    assert links(True) == links(False) == [0]
+    endless = ring.where("oid < 3").withColumn("Next", F.lit(3) - F.col("oid"))
+    assert links(True, endless, nan_distinct=True) == [1, 0]
+    with pytest.raises(Exception, match="no end"):
+        links(False, endless, nan_distinct=True)
+
+
+def test_intermediate_tables_need_a_shared_folder_on_a_cluster(spark):
+    class Session:
+        conf, sparkContext = type("Conf", (), {"get": lambda *_: None})(), type("Context", (), {"master": "yarn"})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_path(Session(), "x")
+
+
 def test_growing_lists(spark):
     lists = EntityContext(spark)
     df = lambda *x: spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "pos long, Name string, Age int")
