@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,22 +12,23 @@ def latest(left: DataFrame, right: DataFrame, width: int, inclusive: bool) -> Da
 
     Time is cut into buckets of ``width``, and windows run within one key and bucket, so that a key with a large
     share of the rows is spread over its buckets. What a bucket inherits comes from a table of one row per key and
-    bucket. Left rows with null key or t find nothing; all left rows stay.
+    bucket. Left rows with null key or t find nothing, and aren't shuffled; all left rows stay.
     """
+    placed = "key is not null and t is not null"
     bucket = F.floor(F.col("t") / F.lit(width)).cast("long").alias("bucket")
     none = F.lit(None)
-    asked = left.select("key", "t", bucket, "row", none.cast(right.schema["row"].dataType).alias("hit"), F.lit(1 if inclusive else 0).alias("turn"))
-    given = right.where("key is not null and t is not null").select("key", "t", bucket, none.cast(left.schema["row"].dataType).alias("row"), F.col("row").alias("hit"), F.lit(0 if inclusive else 1).alias("turn"))
+    asked = left.where(placed).select("key", "t", bucket, "row", none.cast(right.schema["row"].dataType).alias("hit"), F.lit(1 if inclusive else 0).alias("turn"))
+    given = right.where(placed).select("key", "t", bucket, none.cast(left.schema["row"].dataType).alias("row"), F.col("row").alias("hit"), F.lit(0 if inclusive else 1).alias("turn"))
     within = Window.partitionBy("key", "bucket").orderBy("t", "turn", "hit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = asked.union(given).withColumn("near", F.last("hit", ignorenulls=True).over(within)).where("hit is null")
 
     ends = given.groupBy("key", "bucket").agg(F.max(F.struct("t", "hit")).alias("last"))
     ends = ends.select("key", "bucket", F.lit(1).alias("turn"), F.col("last.hit").alias("far"))
     # each asked bucket inherits from the last given bucket before it
-    wanted = asked.where("key is not null and bucket is not null").select("key", "bucket").distinct()
+    wanted = asked.select("key", "bucket").distinct()
     marks = wanted.select("key", "bucket", F.lit(0).alias("turn"), none.cast(right.schema["row"].dataType).alias("far")).union(ends)
     over = Window.partitionBy("key").orderBy("bucket", "turn").rowsBetween(Window.unboundedPreceding, -1)
     inherited = marks.withColumn("old", F.last("far", ignorenulls=True).over(over)).where("turn = 0").select(F.col("key").alias("k"), F.col("bucket").alias("b"), "old")
     joined = near.join(inherited, (F.col("key") == F.col("k")) & (F.col("bucket") == F.col("b")), "left")
-    found: Column = F.coalesce("near", "old")
-    return joined.select("key", "t", "row", F.when(F.col("key").isNotNull() & F.col("t").isNotNull(), found).alias("found"))
+    found = joined.select("key", "t", "row", F.coalesce("near", "old").alias("found"))
+    return found.union(left.where(f"not ({placed})").select("key", "t", "row", none.cast(right.schema["row"].dataType)))

@@ -1,8 +1,8 @@
 """License scans by diagonal voting, in DataFrame operations.
 
 All rolling word pairs of a text are hashed; those that templates have are joined to the places where they stand there
-(a broadcast of fixed size: the templates are constants). A hit at word p of the text and word q of a template votes for the diagonal
-p - q. Votes are gathered per diagonal as a bit per template pair, so repeated hits count once; neighbouring diagonals,
+(a broadcast of fixed size: the templates are constants). Texts without any telling pair are left out before: a span of
+enough pairs has one. A hit at word p of the text and word q of a template votes for the diagonal p - q. Votes are gathered per diagonal as a bit per template pair, so repeated hits count once; neighbouring diagonals,
 which insertions and deletions cause, are merged; a span is verified when enough of the template's pairs were found
 word by word. Of licences that differ in a word the best one counts: a span is left out if the places of nearly all its
 pairs speak for a span of larger share. Only hits are shuffled, and one row per document.
@@ -32,7 +32,7 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-#: Word pairs of these alone are in no index: they are everywhere.
+#: Word pairs of these alone tell nothing: they are everywhere.
 COMMON = frozenset("a and any are as is it may not of or that the this to under use with you".split())
 #: Words by which merged diagonals may differ, and share of a template's pairs that makes a span.
 NEAR, ENOUGH = 3, 0.6
@@ -53,17 +53,26 @@ def text_words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("K"), F.lit("ɐ"))), _BETWEEN), "")
 
 
-def _index(spark: SparkSession, phrases, templates) -> DataFrame:
+def pairs_of(phrases=PHRASES, templates=TEMPLATES) -> list[tuple]:
+    """tid, label, phrase or not, words, pairs, bit, q, a, b, telling: every word pair (a, b) of each template, at word q."""
     rows = []
     for tid, (label, text, phrase) in enumerate([(a, b, True) for a, b in phrases] + [(a, b, False) for a, b in templates]):
         w = text.split()
-        pairs = [(q, w[q], w[q + 1]) for q in range(len(w) - 1) if phrase or not {w[q], w[q + 1]} <= COMMON]
-        if not 1 <= len(pairs) <= 63:
-            raise ValueError(f"a template needs 1 to 63 telling word pairs: {text}")
-        rows += [(tid, label, phrase, len(w), len(pairs), bit, q, a, b) for bit, (q, a, b) in enumerate(pairs)]
-    known = spark.createDataFrame(rows, "tid int, label string, phrase boolean, words int, pairs int, bit int, q int, a string, b string")
-    end = spark.range(1).select(F.lit(-1).alias("tid"), F.lit("").alias("label"), F.lit(False).alias("phrase"), F.lit(0).alias("words"), F.lit(0).alias("pairs"), F.lit(0).alias("bit"), F.lit(0).alias("q"), F.lit("").alias("a"), F.lit("").alias("b"), F.lit(_END).alias("h"))
-    return known.withColumn("h", F.xxhash64("a", "b")).unionByName(end)
+        n = len(w) - 1
+        if not 1 <= n <= 63:
+            raise ValueError(f"a template needs 2 to 64 words: {text}")
+        dull = [{w[q], w[q + 1]} <= COMMON for q in range(n)]
+        # with fewer dull pairs than make a span, every span has a telling one
+        apart = not phrase and sum(dull) < ENOUGH * n
+        rows += [(tid, label, phrase, len(w), n, q, q, w[q], w[q + 1], not (apart and dull[q])) for q in range(n)]
+    return rows
+
+
+def _index(spark: SparkSession, phrases, templates) -> DataFrame:
+    kinds = "tid int, label string, phrase boolean, words int, pairs int, bit int, q int, a string, b string, telling boolean"
+    known = spark.createDataFrame(pairs_of(phrases, templates), kinds).withColumn("h", F.xxhash64("a", "b"))
+    end = spark.createDataFrame([(-1, "", False, 0, 0, 0, 0, "", "", False)], kinds).withColumn("h", F.lit(_END))
+    return known.union(end)
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
@@ -79,14 +88,15 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     spark = docs.sparkSession
     index = _index(spark, phrases, templates)
     # hashes that no template has are dropped before they become rows; the set is as bounded as the templates
-    known = sorted({r["h"] for r in index.select("h").collect()} - {_END})
+    hashes = index.select("h", "telling").collect()
+    known, telling = sorted({r["h"] for r in hashes} - {_END}), sorted({r["h"] for r in hashes if r["telling"]})
     rows = docs.select("doc_id", F.xxhash64("text").alias("t"), text_words("text").alias("w"))
     m = F.greatest(F.size("w") - 1, F.lit(0))
     rows = rows.select("doc_id", "t", "w", F.zip_with(F.slice("w", 1, m), F.slice("w", 2, m), lambda a, b: F.xxhash64(a, b)).alias("pairs"))
     placed = F.filter(F.transform("pairs", lambda h, p: F.struct(p.alias("p"), h.alias("h"))), lambda x: x["h"].isin(known))
     named = F.transform(placed, lambda x: F.struct(x["p"].alias("p"), x["h"].alias("h"), F.get("w", x["p"]).alias("x"), F.get("w", x["p"] + 1).alias("y")))
     end = F.array(F.struct(F.lit(0).alias("p"), F.lit(_END).alias("h"), F.lit("").alias("x"), F.lit("").alias("y")))
-    found = F.when(F.arrays_overlap("pairs", F.array(*map(F.lit, known))), F.concat(named, end)).otherwise(end)
+    found = F.when(F.arrays_overlap("pairs", F.array(*map(F.lit, telling))), F.concat(named, end)).otherwise(end)
     rows = rows.select("doc_id", "t", F.size("w").alias("n_words"), F.explode(found).alias("hit")).select("doc_id", "t", "n_words", "hit.*")
     hits = rows.join(F.broadcast(index), "h").where((F.col("x") == F.col("a")) & (F.col("y") == F.col("b")))
     votes = hits.select("doc_id", "t", "n_words", "tid", "label", "phrase", "words", "pairs", "p", (F.col("p") - F.col("q")).alias("diagonal"), F.expr("shiftleft(1L, bit)").alias("vote"))

@@ -22,24 +22,20 @@ from w left join (select doc_id, count(*) as n from c group by doc_id) using (do
 
 
 def _templates() -> str:
-    rows = []
-    for tid, (label, text, phrase) in enumerate([(a, b, True) for a, b in licenses.PHRASES] + [(a, b, False) for a, b in licenses.TEMPLATES]):
-        w = text.split()
-        pairs = [(q, w[q], w[q + 1]) for q in range(len(w) - 1) if phrase or not {w[q], w[q + 1]} <= licenses.COMMON]
-        rows += [f"({tid}, '{label}', {str(phrase).lower()}, {len(w)}, {len(pairs)}, {bit}, {q}, '{a}', '{b}')" for bit, (q, a, b) in enumerate(pairs)]
-    return ", ".join(rows)
+    return ", ".join(f"({tid}, '{label}', {str(phrase).lower()}, {words}, {pairs}, {bit}, {q}, '{a}', '{b}')" for tid, label, phrase, words, pairs, bit, q, a, b, _ in licenses.pairs_of())
 
 
 OP2 = rf"""
 with w as (select doc_id, regexp_extract_all({_LOW}, '{_PLAIN}') as w from documents),
 t(tid, label, phrase, words, pairs, bit, q, a, b) as (values {_templates()}),
 g as (select doc_id, i - 1 as p, w[i] as x, w[i + 1] as y from (select doc_id, w, unnest(range(1, len(w))) as i from w)),
-d as (select doc_id, tid, label, phrase, words, pairs, p - q as diagonal, bit_or(1::bigint << bit) as found from g join t on x = a and y = b group by all),
+d as (select doc_id, tid, label, phrase, words, pairs, p - q as diagonal, bit_or(1::bigint << bit) as found, list(distinct p) as places from g join t on x = a and y = b group by all),
 m as (select *, case when phrase then 1 when diagonal - lag(diagonal) over (partition by doc_id, tid order by diagonal) <= {licenses.NEAR} then 0 else 1 end as far from d),
 n as (select *, sum(far) over (partition by doc_id, tid order by diagonal) as band from m),
-s as (select doc_id, label, phrase, bit_count(bit_or(found)) / pairs as share, greatest(min(diagonal), 0) as start, min(diagonal) + words as stop from n group by doc_id, tid, label, phrase, words, pairs, band),
-all_ok as (select * from s where case when phrase then share = 1 else share >= {licenses.ENOUGH} end),
-ok as (select * from all_ok a where phrase or not exists (select 1 from all_ok o where not o.phrase and o.doc_id = a.doc_id and o.share > a.share and o.start < a.stop and a.start < o.stop)),
+s as (select doc_id, label, phrase, bit_count(bit_or(found)) / pairs as share, greatest(min(diagonal), 0) as start, list_distinct(flatten(list(places))) as places from n group by doc_id, tid, label, phrase, words, pairs, band),
+all_ok as (select *, list_min(places) as low, list_max(places) + 2 as high from s where case when phrase then share = 1 else share >= {licenses.ENOUGH} end),
+ok as (select * from all_ok a where phrase or not exists (select 1 from all_ok o where not o.phrase and o.doc_id = a.doc_id and o.share > a.share and o.low < a.high and a.low < o.high
+  and len(list_intersect(a.places, o.places)) >= {licenses.SAME} * len(a.places))),
 x as (select doc_id, count(*) filter (phrase) as n_base, min(start) filter (phrase) as first_word, max(start) filter (phrase) as last_word,
   string_agg(distinct label, ',' order by label) filter (phrase) as base_labels, string_agg(distinct label, ',' order by label) as labels,
   max(case when phrase then 1.0::double else share end) as score from ok group by doc_id)
@@ -56,10 +52,10 @@ k as (select *, '"' || h || '"' as tag, h[1] as d, regexp_replace(regexp_replace
   || regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '')
   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '[?](.*)$', 1), '&'), lambda x: x <> '' and not starts_with(x, 'utm_'))), '&'), ''), '') as key from p),
 given as (select page_id * 2 as record_id, key, page_id * 10 as t, tag, page_id::varchar as modified, html from k where u <> ''),
-asked as (select page_id * 2 + 1 as record_id, case when u <> '' then key end as key, page_id * 10 + case when d = '1' then -5 else 100003 end as t, page_id::varchar as modified,
+asked as (select page_id * 2 + 1 as record_id, d, case when u <> '' then key end as key, page_id * 10 + case when d = '1' then -5 else 100003 end as t, page_id::varchar as modified,
   case d when '2' then '"old"' when '3' then null else tag end as tag from k),
-j as (select a.record_id, a.key, a.t, g.record_id as response_id, g.t as response_t, g.tag as stored, g.html,
-  case when g.record_id is null then 'no earlier response' when coalesce(a.tag = g.tag, a.modified = g.modified) then 'resolved'
+j as (select a.record_id, a.key, a.t, case when d <> '4' then g.record_id end as response_id, g.t as response_t, g.tag as stored, g.html,
+  case when d = '4' then 'other profile' when g.record_id is null then 'no earlier response' when coalesce(a.tag = g.tag, a.modified = g.modified) then 'resolved'
     when not coalesce(a.tag = g.tag, a.modified = g.modified) then 'validators differ' else 'no validator' end as outcome
   from asked a asof left join given g on a.key = g.key and a.t > g.t)
 select record_id, key as url, t as fetched, response_id, outcome,

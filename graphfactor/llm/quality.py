@@ -8,6 +8,7 @@ tables over pairs of coarse bins in the same way. A score is the logistic of a s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -34,6 +35,7 @@ FEATURES = (
 
 #: Text bytes at once; features take some 150 bytes of memory each.
 _SLICE = 1 << 19
+_GAP = re.compile(rb"[\x09-\x0D\x20]")
 
 _CLASS = np.zeros(256, np.uint8)
 _UPPER, _LOWERCASE, _DIGIT, _PUNCT, _BANG, _BAR, _HIGH, _BREAK = 1, 2, 3, 4, 5, 6, 7, 8
@@ -42,57 +44,147 @@ _CLASS[[*b"""\"#$%&'()*+,-./:;=?@\\^_`~"""]] = _PUNCT
 _CLASS[[*b"!"]], _CLASS[[*b"|<>[]{}"]], _CLASS[[*b"\n"]] = _BANG, _BAR, _BREAK
 
 
-def features(texts: list[bytes]) -> np.ndarray:
-    """One row of features per text; an empty text has zeros."""
+class Counts(NamedTuple):
+    """What the features of texts are made of, one number per text."""
+
+    size: np.ndarray  # bytes
+    kinds: list[np.ndarray]  # bytes of each kind
+    words: np.ndarray
+    word_bytes: np.ndarray
+    same: np.ndarray  # words equal to the one before
+    distinct: np.ndarray
+    commonest: np.ndarray  # times that the commonest word stands there
+    capitals: np.ndarray  # words in capitals only
+    short: np.ndarray  # words of one or two bytes
+    with_digits: np.ndarray
+    longest: np.ndarray
+    ends: np.ndarray  # words that end a sentence
+    lines: np.ndarray  # lines with words
+    repeated: np.ndarray  # lines that stood there before
+
+    def features(self) -> np.ndarray:
+        size, per = np.maximum(self.size, 1), np.maximum(self.words, 1)
+        letters = np.maximum(self.kinds[_UPPER] + self.kinds[_LOWERCASE] + self.kinds[_HIGH], 1)
+        share = [self.kinds[k] / size for k in range(9)]
+        return np.stack(
+            [
+                np.log1p(self.words), self.word_bytes / per, self.kinds[_UPPER] / letters, share[_DIGIT], share[_PUNCT], share[_BANG], share[_BAR],
+                self.same / per, np.log(np.maximum(self.distinct, 1)) / np.maximum(np.log(np.maximum(self.words, 2)), 0.5), self.commonest / per,
+                self.capitals / per, self.short / per, share[_HIGH], self.kinds[_BREAK] / per, self.repeated / np.maximum(self.lines, 1),
+                self.with_digits / per, np.log1p(self.longest), self.ends / per,
+            ],
+            axis=1,
+        )
+
+
+def features(texts: list[bytes], longest: int = 0) -> np.ndarray:
+    """One row of features per text; an empty text has zeros. Texts beyond ``longest`` bytes (_SLICE) are read in parts."""
+    limit = longest or _SLICE
+    out = np.empty((len(texts), len(FEATURES)))
+    short = [i for i, t in enumerate(texts) if len(t) <= limit]
+    if short:
+        out[short] = _counted([texts[i] for i in short]).features()
+    for i, t in enumerate(texts):
+        if len(t) > limit:
+            out[i] = _counted_in_parts(t, limit).features()[0]
+    return out
+
+
+def _grouped(keys: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of groups of equal (key, hash), in order, and the sizes of the groups."""
+    order = np.lexsort((hashes, keys))
+    k, h = keys[order], hashes[order]
+    head = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (h[1:] != h[:-1])])) if len(k) else np.empty(0, np.int64)
+    return k[head], np.diff(head, append=len(k))
+
+
+def _line_hashes(hashes: np.ndarray, line: np.ndarray, before: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """First word of each line, and a sum over the line's words and their places; ``before`` words stand in the first line already."""
+    if not len(hashes):
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    place = np.arange(len(hashes)) - np.repeat(new, np.diff(new, append=len(hashes)))
+    place[: new[1] if len(new) > 1 else len(place)] += before
+    return new, np.add.reduceat(mix(hashes + place.astype(np.uint64)), new)
+
+
+def _counted(texts: list[bytes]) -> Counts:
     m = len(texts)
     w = words(texts, SPACED)
     kind = _CLASS[w.buffer]
     lengths = np.array([len(t) + 1 for t in texts])
     first = np.concatenate([[0], np.cumsum(lengths)])
     sums = [np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)]) for k in range(9)]
-    count = lambda k: (sums[k][first[1:]] - sums[k][first[:-1]]).astype(float)
-    size, n = np.maximum(lengths - 1, 1).astype(float), w.counts.astype(float)
-    per = np.maximum(n, 1)
     doc = np.repeat(np.arange(m), w.counts)
     by_doc = lambda x: np.bincount(doc, x, m)
-    word_size = (w.ends - w.starts).astype(float)
-    hashes = word_hashes(w)
+    word_size, hashes = (w.ends - w.starts).astype(float), word_hashes(w)
     inside = lambda k: sums[k][w.ends] - sums[k][w.starts]
     same = np.zeros(len(hashes))
     same[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
-    order = np.lexsort((hashes, doc))
-    d, h = doc[order], hashes[order]
-    head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (h[1:] != h[:-1])])) if len(d) else np.empty(0, np.int64)
-    repeats = np.diff(head, append=len(d)).astype(float)
-    commonest = np.zeros(m)
-    np.maximum.at(commonest, d[head], repeats)
-    longest = np.zeros(m)
+    of, times = _grouped(doc, hashes)
+    commonest, longest = np.zeros(m), np.zeros(m)
+    np.maximum.at(commonest, of, times)
     np.maximum.at(longest, doc, word_size)
     last = w.buffer[w.ends - 1]
-    # lines: hash of the words between breaks
-    breaks = count(_BREAK)
-    line = sums[_BREAK][w.starts] + doc
-    new = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.empty(0, np.int64)
-    place = np.arange(len(hashes)) - np.repeat(new, np.diff(new, append=len(hashes)))
-    line_hash = np.add.reduceat(mix(hashes + place.astype(np.uint64)), new) if len(new) else np.empty(0, np.uint64)
+    new, line_hash = _line_hashes(hashes, sums[_BREAK][w.starts] + doc)
     line_doc = doc[new]
-    order = np.lexsort((line_hash, line_doc))
-    ld, lh = line_doc[order], line_hash[order]
-    repeated = np.zeros(len(ld))
-    repeated[1:] = (ld[1:] == ld[:-1]) & (lh[1:] == lh[:-1])
-    lines = np.maximum(np.bincount(line_doc, minlength=m), 1)
-    letters = np.maximum(count(_UPPER) + count(_LOWERCASE) + count(_HIGH), 1)
-    return np.stack(
-        [
-            np.log1p(n), by_doc(word_size) / per, count(_UPPER) / letters, count(_DIGIT) / size, count(_PUNCT) / size, count(_BANG) / size, count(_BAR) / size,
-            by_doc(same) / per, np.log(np.maximum(np.bincount(d[head], minlength=m), 1)) / np.maximum(np.log(np.maximum(n, 2)), 0.5), commonest / per,
-            by_doc((inside(_UPPER) > 1) & (inside(_LOWERCASE) == 0)) / per, by_doc(word_size <= 2) / per,
-            count(_HIGH) / size, breaks / per, np.bincount(ld, repeated, m) / lines, by_doc(inside(_DIGIT) > 0) / per, np.log1p(longest), by_doc((last == 0x2E) | (last == 0x3F)) / per,
-        ],
-        axis=1,
+    lines = np.bincount(line_doc, minlength=m)
+    return Counts(
+        lengths - 1, [(s[first[1:]] - s[first[:-1]]).astype(float) for s in sums], w.counts.astype(float), by_doc(word_size), by_doc(same), np.bincount(of, minlength=m), commonest,
+        by_doc((inside(_UPPER) > 1) & (inside(_LOWERCASE) == 0)), by_doc(word_size <= 2), by_doc(inside(_DIGIT) > 0), longest, by_doc((last == 0x2E) | (last == 0x3F)),
+        lines, lines - np.bincount(_grouped(line_doc, line_hash)[0], minlength=m),
     )
 
 
+def _counted_in_parts(text: bytes, step: int) -> Counts:
+    """Counts of one long text, some ``step`` bytes at a time; different words and lines are kept as hashes."""
+    total = np.zeros(10)
+    kinds = np.zeros(9)
+    word_hash, word_times, lines = np.empty(0, np.uint64), np.empty(0, np.int64), [np.empty(0, np.uint64)]
+    longest, last_hash, open_words, open_sum, at = 0.0, None, 0, np.uint64(0), 0
+    while at < len(text):
+        gap = _GAP.search(text, min(at + step, len(text)))
+        stop = gap.end() if gap else len(text)
+        w = words([text[at:stop]], SPACED)
+        at = stop
+        kind = _CLASS[w.buffer]
+        kinds += np.bincount(kind, minlength=9)
+        # the space that ends the buffer is of no kind that is asked for
+        sums = {k: np.concatenate([[0], np.cumsum(kind == k, dtype=np.int64)]) for k in (_UPPER, _LOWERCASE, _DIGIT, _BREAK)}
+        breaks = int(sums[_BREAK][-1])
+        inside = lambda k: sums[k][w.ends] - sums[k][w.starts]  # noqa: B023, E731
+        hashes, size = word_hashes(w), w.ends - w.starts
+        if len(hashes):
+            line = sums[_BREAK][w.starts]
+            before, carried = (open_words, open_sum) if line[0] == 0 else (0, np.uint64(0))
+            if line[0] and open_words:
+                lines.append(np.array([open_sum]))
+            new, found = _line_hashes(hashes, line, before)
+            found[:1] += carried
+            open_words, open_sum = len(hashes) - int(new[-1]) + (before if len(new) == 1 else 0), found[-1]
+            lines.append(found[:-1])
+            if line[-1] < breaks:
+                lines.append(np.array([open_sum]))
+                open_words, open_sum = 0, np.uint64(0)
+            last = w.buffer[w.ends - 1]
+            total += [
+                len(hashes), size.sum(), (hashes[1:] == hashes[:-1]).sum() + (last_hash is not None and hashes[0] == last_hash), 0, 0,
+                ((inside(_UPPER) > 1) & (inside(_LOWERCASE) == 0)).sum(), (size <= 2).sum(), (inside(_DIGIT) > 0).sum(), 0, ((last == 0x2E) | (last == 0x3F)).sum(),
+            ]
+            longest, last_hash = max(longest, float(size.max())), hashes[-1]
+            word_hash, of = np.unique(np.concatenate([word_hash, hashes]), return_inverse=True)
+            word_times = np.bincount(of, np.concatenate([word_times, np.ones(len(hashes))])).astype(np.int64)
+        elif breaks and open_words:
+            lines.append(np.array([open_sum]))
+            open_words, open_sum = 0, np.uint64(0)
+    if open_words:
+        lines.append(np.array([open_sum]))
+    line_hash = np.concatenate(lines)
+    total[3], total[4], total[8] = len(word_hash), word_times.max(initial=0), longest
+    one = lambda x: np.array([float(x)])
+    return Counts(one(len(text)), list(map(one, kinds)), *map(one, total), one(len(line_hash)), one(len(line_hash) - len(np.unique(line_hash))))
+
+
 class Model(NamedTuple):
     base: float
     cuts: list[np.ndarray]  # of each feature

@@ -37,7 +37,8 @@ def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captures made from the whole table pages: a response of each page, and a later conditional request for it.
 
     By the first digit of the page's md5 the request is answered with a weak validator (0), comes before the
-    response (1), has an outdated validator (2), or has only a date (3); else it has the same validator.
+    response (1), has an outdated validator (2), has only a date (3), is a revisit of another profile (4), or was made
+    of another address and refers to the page's (5); else it has the same validator.
     """
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html", F.md5(F.coalesce("html", F.lit(""))).alias("h")).withColumn("d", F.substring("h", 1, 1))
     tag = F.concat(F.lit('"'), "h", F.lit('"'))
@@ -46,7 +47,10 @@ def warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     response = pages.select((F.col("page_id") * 2).alias("record_id"), "url", when, F.lit("response").alias("kind"), tag.alias("etag"), F.col("page_id").cast("string").alias("last_modified"), head("content-type", F.lit("text/html"), "date", (F.col("page_id") * 10).cast("string"), "etag", tag, "server", F.lit("s")).alias("headers"), F.col("html").alias("body"))
     later = F.col("page_id") * 10 + F.when(F.col("d") == "1", -5).otherwise(100_003)
     seen = F.when(F.col("d") == "0", F.concat(F.lit("W/"), tag)).when(F.col("d") == "2", F.lit('"old"')).when(F.col("d") == "3", F.lit(None)).otherwise(tag)
-    revisit = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", later.alias("fetched"), F.lit("revisit").alias("kind"), seen.alias("etag"), F.col("page_id").cast("string").alias("last_modified"), head("cache-control", F.lit("max-age=60"), "content-type", F.lit("none"), "date", later.cast("string")).alias("headers"), F.lit(None).cast("string").alias("body"))
+    profile = F.concat(F.lit("http://netpreserve.org/warc/1.1/revisit/"), F.when(F.col("d") == "4", "identical-payload-digest").otherwise("server-not-modified"))
+    elsewhere = F.when((F.col("d") == "5") & F.col("url").isNotNull(), F.concat(F.lit("http://mirror.invalid/"), "page_id")).otherwise(F.col("url")).alias("url")
+    revisit = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), elsewhere, later.alias("fetched"), F.lit("revisit").alias("kind"), seen.alias("etag"), F.col("page_id").cast("string").alias("last_modified"), head("cache-control", F.lit("max-age=60"), "content-type", F.lit("none"), "date", later.cast("string")).alias("headers"), F.lit(None).cast("string").alias("body"), profile.alias("profile"), F.when(F.col("d") == "5", F.col("url")).alias("refers_to"))
+    response = response.withColumn("profile", F.lit(None).cast("string")).withColumn("refers_to", F.lit(None).cast("string"))
     return response.union(revisit)
 
 

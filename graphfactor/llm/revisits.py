@@ -9,6 +9,8 @@ from . import asof
 
 #: Fields that a 304 response may bring in place of the stored ones.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
+#: Fixed value: end of the profile's address for "304 Not Modified", in any version of the format.
+PROFILE = "/revisit/server-not-modified"
 #: Seconds of a bucket of the as-of join.
 BUCKET = 4096
 
@@ -27,34 +29,42 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Resolve revisits to the latest earlier full response of their canonical URL.
 
     records: record_id (long), url, fetched (long, seconds), kind ("response" or "revisit"), etag, last_modified,
-    headers (map of lower-case names), body; other columns are not read. Returns one row per revisit: record_id, url
-    (canonical), fetched, response_id, outcome, headers, body.
+    headers (map of lower-case names), body, and, where there are such columns, profile and refers_to (the revisit's
+    WARC-Profile and WARC-Refers-To-Target-URI); other columns are not read. Returns one row per revisit: record_id,
+    url (canonical, of refers_to if that is given), fetched, response_id, outcome, headers, body.
 
     Validators: where both records have an etag, these must be equal (a leading W/ is not heeded); else where both
-    have last_modified, those must; without a common one nothing is proved. outcome is "resolved", "no earlier
-    response", "validators differ" or "no validator"; only "resolved" has headers and body. Headers are the
-    response's, with PERMITTED ones of the revisit in their place. Responses of the same second as the revisit are
-    not earlier; of responses of one second the largest record_id counts. Revisits with null url or time find
-    nothing; responses with null url or time are never found; repeated revisits each get a row; other kinds are not read.
+    have last_modified, those must; without a common one nothing is proved. outcome is "other profile" (the profile is
+    given and isn't that of "304 Not Modified"), "resolved", "no earlier response", "validators differ" or "no
+    validator"; only "resolved" has headers and body. Headers are the response's, with PERMITTED ones of the revisit in
+    their place. Responses of the same second as the revisit are not earlier; of responses of one second the largest
+    by record_id, etag, last_modified and a hash of headers and body counts, whatever their order. Revisits with null url
+    or time find nothing; responses with null url or time are never found; repeated revisits each get a row; other
+    kinds are not read.
     """
-    key, named = canonical_url(F.col("url")).alias("key"), lambda *x: F.struct("record_id", "etag", "last_modified", *x).alias("row")
+    for column in ("profile", "refers_to"):
+        if column not in records.columns:
+            records = records.withColumn(column, F.lit(None).cast("string"))
     t = F.col("fetched").cast("long").alias("t")
-    asked = records.where("kind = 'revisit'").select(key, t, named("headers"))
-    # bodies stay out of the as-of join and come by record_id afterwards
-    given = records.where("kind = 'response'").select(key, t, named())
+    # a response is known by its content, as ids may be repeated or null
+    content = F.xxhash64("record_id", "etag", "last_modified", F.array_sort(F.map_entries("headers")), "body").alias("content")
+    asked = records.where("kind = 'revisit'").select(canonical_url(F.coalesce("refers_to", "url")).alias("key"), t, F.struct("record_id", "etag", "last_modified", "headers", "profile").alias("row"))
+    # bodies stay out of the as-of join and come by content afterwards
+    given = records.where("kind = 'response'").select(canonical_url(F.col("url")).alias("key"), t, F.struct("record_id", "etag", "last_modified", content).alias("row"))
     found = asof.latest(asked, given, bucket, inclusive=False)
     strong = lambda x: F.regexp_replace(x, "^W/", "")
     mine, theirs = strong(F.col("row.etag")), strong(F.col("found.etag"))
     same = F.coalesce(mine == theirs, F.col("row.last_modified") == F.col("found.last_modified"))
-    outcome = F.when(F.col("found").isNull(), "no earlier response").when(same, "resolved").when(~same, "validators differ").otherwise("no validator")
-    found = found.select("key", "t", "row", F.col("found.record_id").alias("response_id"), outcome.alias("outcome"))
-    stored = records.where("kind = 'response' and record_id is not null").select(F.col("record_id").alias("stored_id"), F.col("headers").alias("stored"), "body").dropDuplicates(["stored_id"])
+    other = ~F.lower("row.profile").endswith(PROFILE)
+    outcome = F.when(other, "other profile").when(F.col("found").isNull(), "no earlier response").when(same, "resolved").when(~same, "validators differ").otherwise("no validator")
+    found = found.select("key", "t", "row", F.when(~F.coalesce(other, F.lit(False)), F.col("found")).alias("found"), outcome.alias("outcome"))
+    stored = records.where("kind = 'response'").select(content, F.col("headers").alias("stored"), "body").dropDuplicates(["content"])
     # revisits that prove nothing meet nothing, and are spread by a key of their own
     proved = F.col("outcome") == "resolved"
-    found = found.withColumn("proved", proved).withColumn("wanted", F.when(proved, F.col("response_id")).otherwise(F.xxhash64("row.record_id", "key", "t")))
-    joined = found.join(stored.withColumn("stored_too", F.lit(True)), (F.col("wanted") == F.col("stored_id")) & (F.col("proved") == F.col("stored_too")), "left")
+    found = found.withColumn("proved", proved).withColumn("wanted", F.when(proved, F.col("found.content")).otherwise(F.xxhash64("row.record_id", "key", "t")))
+    joined = found.join(stored.withColumn("stored_too", F.lit(True)), (F.col("wanted") == F.col("content")) & (F.col("proved") == F.col("stored_too")), "left")
     nothing = F.expr("cast(map() as map<string,string>)")
     new = F.map_filter(F.coalesce("row.headers", nothing), lambda k, _: k.isin(*PERMITTED))
     rest = F.map_filter(F.coalesce("stored", nothing), lambda k, _: ~F.array_contains(F.map_keys(new), k))
-    headers = F.when(F.col("outcome") == "resolved", F.map_concat(rest, new))
-    return joined.select(F.col("row.record_id").alias("record_id"), F.col("key").alias("url"), F.col("t").alias("fetched"), "response_id", "outcome", headers.alias("headers"), "body")
+    headers = F.when(proved, F.map_concat(rest, new))
+    return joined.select(F.col("row.record_id").alias("record_id"), F.col("key").alias("url"), F.col("t").alias("fetched"), F.col("found.record_id").alias("response_id"), "outcome", headers.alias("headers"), "body")

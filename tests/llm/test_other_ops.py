@@ -1,7 +1,10 @@
 """License scans, revisits, quality, URL lists, mixing, token files, GIF and the pipeline."""
 
 import random
+import re
 import zlib
+from collections import Counter
+from math import log, log1p
 
 import numpy as np
 import pytest
@@ -48,6 +51,52 @@ def test_license_spans_are_beaten_by_rivals_on_the_same_words_only(spark):
     assert by[4] == [("all-rights-reserved", 8, 11), ("cc-by-sa", 1, 8), ("mit", 11, 16)]
 
 
+def brute_spans(text):
+    """Places, spans and labels by the definitions: diagonals of each template's word pairs, bands, shares, rivals."""
+    w = [x.lower() for x in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    places = sorted((label, i) for label, phrase in licenses.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split())
+    spans = []
+    for label, template in licenses.TEMPLATES:
+        t = template.split()
+        hits = {}
+        for p in range(len(w) - 1):
+            for q in range(len(t) - 1):
+                if w[p : p + 2] == t[q : q + 2]:
+                    hits.setdefault(p - q, []).append((p, q))
+        bands = []
+        for diagonal in sorted(hits):
+            if bands and diagonal - bands[-1][0] <= licenses.NEAR:
+                bands[-1][0] = diagonal
+                bands[-1][1] += hits[diagonal]
+            else:
+                bands.append([diagonal, list(hits[diagonal])])
+        for _, found in bands:
+            share, at = len({q for _, q in found}) / (len(t) - 1), {p for p, _ in found}
+            if share >= licenses.ENOUGH:
+                spans.append((label, min(at), max(at) + 2, share, at))
+    beaten = lambda s: any(o[3] > s[3] and o[1] < s[2] and s[1] < o[2] and len(s[4] & o[4]) >= licenses.SAME * len(s[4]) for o in spans)
+    return len(w), places, sorted(s[:4] for s in spans if not beaten(s))
+
+
+def test_license_scan_equals_brute_force(spark):
+    rnd = random.Random(15)
+    parts = [t for _, t in licenses.TEMPLATES] + [t for _, t in licenses.PHRASES] + ["of the", "this is", "under the terms of the"]
+    texts = []
+    for _ in range(250):
+        words = " ".join(rnd.choice(parts) if rnd.random() < 0.6 else rnd.choice(["code", "the", "a", "license"]) for _ in range(rnd.randrange(1, 9))).split()
+        for _ in range(rnd.randrange(6)):
+            k = rnd.randrange(len(words) + 1)
+            words[k : k + rnd.randrange(3)] = [rnd.choice(["Kindly", "the", "of", "x"])] * rnd.randrange(3)
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(words).replace("license", rnd.choice(["license", "License", "LICENSE"])))
+    got = licenses.scan(docs(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n, places, spans = brute_spans(texts[r.doc_id])
+        assert (r.n_words, [tuple(p) for p in r.places]) == (n, places)
+        assert sorted((s.label, s.start, s.stop, s.share) for s in r.spans) == spans
+        assert r.labels == sorted({x[0] for x in places + spans}) and r.score == max([1.0] * bool(places) + [s[3] for s in spans], default=0)
+
+
 # as-of join, revisits, URL lists
 
 
@@ -89,6 +138,27 @@ def test_revisits_check_validators_and_merge_permitted_headers(spark):
     assert revisits.resolve(spark.createDataFrame([], kind)).collect() == []
 
 
+def test_revisits_of_repeated_ids_profiles_and_targets(spark):
+    kind = "record_id long, url string, fetched long, kind string, etag string, last_modified string, headers map<string,string>, body string, profile string, refers_to string"
+    good, other = "http://netpreserve.org/warc/1.0/revisit/server-not-modified", "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+    rows = [
+        (1, "a.com/x", 10, "response", '"e"', "m", {}, "b1", None, None),
+        (1, "a.com/x", 10, "response", '"e"', "m", {}, "b2", None, None),
+        (None, "a.com/y", 10, "response", '"y"', "m", {"age": "1"}, "by", None, None),
+        (3, "a.com/x", 20, "revisit", '"e"', None, {}, None, None, None),
+        (4, "a.com/x", 20, "revisit", '"e"', None, {}, None, other, None),
+        (5, "b.com/z", 20, "revisit", '"e"', None, {}, None, good, "http://a.com/x"),
+        (6, "a.com/y", 20, "revisit", '"y"', None, None, None, good, None),
+    ]
+    seen = set()
+    for order in range(6):
+        table = spark.createDataFrame(random.Random(order).sample(rows, len(rows)), kind).repartition(1 + order)
+        got = {r.record_id: (r.url, r.outcome, r.response_id, r.body) for r in revisits.resolve(table).collect()}
+        seen.add(str(sorted(got.items())))
+    assert len(seen) == 1 and got[3][3] in ("b1", "b2") and got[5] == ("a.com/x", "resolved", 1, got[3][3])
+    assert got[4] == ("a.com/x", "other profile", None, None) and got[6] == ("a.com/y", "resolved", None, "by")
+
+
 def test_url_lists_equal_brute_force(spark):
     rnd = random.Random(6)
     hosts = ["a.com", "x.a.com", "y.x.a.com", "b.org", "notb.org", "A.com."]
@@ -127,6 +197,42 @@ def test_quality_on_held_out_rows(spark):
     assert all(first[r.doc_id] == r.score for r in again)
 
 
+def plain_features(t):
+    """One text's features, word by word and byte by byte."""
+    spaced = re.compile(rb"[^\x20\x09-\x0D]+")
+    w, size = spaced.findall(t), max(len(t), 1)
+    n, per = len(w), max(len(w), 1)
+    count = lambda some: sum(c in some for c in t)
+    upper, lower = (lambda x: sum(65 <= c <= 90 for c in x)), (lambda x: sum(97 <= c <= 122 for c in x))
+    high = sum(c >= 128 for c in t)
+    lines = [x for x in map(tuple, map(spaced.findall, t.split(b"\n"))) if x]
+    return [
+        log1p(n), sum(map(len, w)) / per, upper(t) / max(upper(t) + lower(t) + high, 1), count(b"0123456789") / size,
+        count(b"\"#$%&'()*+,-./:;=?@\\^_`~") / size, count(b"!") / size, count(b"|<>[]{}") / size,
+        sum(a == b for a, b in zip(w, w[1:])) / per, log(max(len(set(w)), 1)) / max(log(max(n, 2)), 0.5), max(Counter(w).values(), default=0) / per,
+        sum(upper(x) > 1 and not lower(x) for x in w) / per, sum(len(x) <= 2 for x in w) / per, high / size, t.count(b"\n") / per, (len(lines) - len(set(lines))) / max(len(lines), 1),
+        sum(any(48 <= c <= 57 for c in x) for x in w) / per, log1p(max(map(len, w), default=0)), sum(x[-1:] in (b".", b"?") for x in w) / per,
+    ]
+
+
+def test_features_equal_plain_python_in_one_go_and_in_parts():
+    rnd = random.Random(1)
+    symbols = [*"aAbB1.?! \n\t|é漢Z,;", " ", "\n", "ab ", "AB ", "x1 ", "the the\n"]
+    texts = ["".join(rnd.choice(symbols) for _ in range(rnd.randrange(200))).encode() for _ in range(300)] + [b"", b" ", b"\n\n", b"a" * 500, b"a\nb\na\n\n b\n"]
+    want = np.array([plain_features(t) for t in texts])
+    assert np.allclose(quality.features(texts), want, rtol=1e-12, atol=0)
+    for step in (1, 7, 40):
+        assert np.allclose(quality.features(texts, step), want, rtol=1e-12, atol=0)
+
+
+def test_quality_ranks_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    table, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.score(table, quality.train(table, labels)).join(labels, "doc_id").where(quality.held_out()).select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in good for b in bad]) > 0.97
+
+
 def test_quality_edge_rows(spark):
     table = docs(spark, [(i, t, "s") for i, t in enumerate(["good words here", None, "", "bad bad bad bad", "\n\n", "x" * 100_000, "good words here"])] + [(None, "é", "s")])
     for labels in ([], [(0, 1)], [(0, 1), (3, 0), (3, 1), (None, 1), (4, None), (77, 1)]):
