@@ -17,8 +17,9 @@ from ..container import Container
 from ..plans.analyze import Graph
 from ..plans.catalog import PropKind
 from ..plans.config import ConfigError, GraphConfig
+from ..sources.shared import shared_table
 from .dense import dense_index
-from .values import flat_row, occurrences, only_path, plain, row_schema, value
+from .values import flat_row, occurrences, only_path, plain, row_schema, spark_type, value
 
 #: Occurrences of one type in a root up to which "auto" works within the row.
 ROW_LIMIT = 1000
@@ -82,6 +83,9 @@ def _within_rows(rows: DataFrame, graph: Graph) -> DataFrame:
 
 def _by_groups(rows: DataFrame, graph: Graph, scope: str) -> Container:
     scoped = ["root_id"] if scope == "root" else []
+    if not scoped:
+        # the input is worked out once, and not for each type again
+        rows = shared_table(rows, "roots")
     entities: dict[str, DataFrame] = {}
     for t in graph.lists:
         found = F.array("v") if t == graph.root else occurrences(graph, graph.root, t, F.col("v"))
@@ -92,33 +96,50 @@ def _by_groups(rows: DataFrame, graph: Graph, scope: str) -> Container:
             distinct = distinct.withColumn("idx", F.row_number().over(Window.partitionBy("root_id").orderBy("first")) - 1)
         else:
             distinct = dense_index(distinct, "first")
-        entities[t] = distinct.select(*scoped, "idx", "v")
+        entities[t] = distinct.select(*scoped, "idx", "v", *_keys("v", spark_type(graph, t)))
     frames = {graph.lists[t]: _linked(entities, graph, t, scoped) for t in graph.lists}
     if scoped:
         roots = rows.select("root_id", F.lit(0).alias("root_index"))
     else:
-        own = entities[graph.root].select(F.col("v").alias("w"), F.col("idx").alias("root_index"))
-        roots = rows.join(own, F.col("v").eqNullSafe(F.col("w"))).select("root_id", "root_index")
+        own = entities[graph.root].select("k1", "k2", F.col("idx").alias("root_index"))
+        roots = rows.select("root_id", *_keys("v", spark_type(graph, graph.root))).join(own, ["k1", "k2"]).select("root_id", "root_index")
     return Container(graph, frames=frames, roots=roots, scope=scope)
 
 
+def _digest(x: Column, kind: T.DataType, seed: int) -> Column:
+    """A 64-bit hash of a value in which nulls and ends of arrays count; Spark's own hash of nested values skips them."""
+    if isinstance(kind, T.StructType):
+        found = F.xxhash64(F.lit(seed), *(_digest(x[f.name], f.dataType, seed) for f in kind))
+    elif isinstance(kind, T.ArrayType):
+        found = F.xxhash64(F.lit(seed), F.size(x), F.transform(x, lambda y: _digest(y, kind.elementType, seed)))
+    else:
+        found = F.xxhash64(F.lit(seed), x)
+    return F.when(x.isNull(), F.lit(0).cast("long")).otherwise(found)
+
+
+def _keys(value: str, kind: T.DataType) -> list[Column]:
+    """Two hashes that stand for a value in joins, so that a target's values aren't shuffled: every value that is looked up is
+    among the target's entities, and two of n entities clash with a probability of n * n / 2 ** 129. A null has none."""
+    x = F.col(value)
+    return [F.when(x.isNotNull(), _digest(x, kind, seed)).alias(f"k{seed}") for seed in (1, 2)]
+
+
 def _linked(entities: dict[str, DataFrame], graph: Graph, t: str, scoped: list[str]) -> DataFrame:
-    """Frame of a type, each reference replaced by a join on the value it refers to."""
-    out, node = entities[t], graph.by_name[t]
-    on = lambda x: [F.col(s) == F.col(f"_{s}") for s in scoped] + [F.col(x) == F.col("_v")]
-    columns = []
+    """Frame of a type, each reference replaced by a join on the keys of the value it refers to."""
+    node, key = graph.by_name[t], [*scoped, "k1", "k2"]
+    out, columns = entities[t].select(*scoped, "idx", "v"), []
     for i, p in enumerate(node.props):
         x = F.col("v")[p.name]
         if p.kind in (PropKind.SIMPLE, PropKind.INLINED):
             columns.append(plain(p, x).alias(p.column))
             continue
-        target = entities[p.target].select(*(F.col(s).alias(f"_{s}") for s in scoped), F.col("v").alias("_v"), F.col("idx").alias(f"_{i}"))
+        target, keys = entities[p.target].select(*key, F.col("idx").alias(f"_{i}")), _keys("_x", spark_type(graph, p.target))
         if p.kind is PropKind.NORMALIZED:
-            out = out.withColumn("_x", x).join(target, on("_x"), "left").drop("_x", "_v", *(f"_{s}" for s in scoped))
+            out = out.withColumn("_x", x).select("*", *keys).join(target, key, "left").drop("_x", "k1", "k2")
             columns.append(F.col(f"_{i}").alias(p.column))
         else:
-            each = entities[t].select(*scoped, "idx", F.posexplode(x).alias("_pos", "_x")).join(target, on("_x"), "left")
-            gathered = each.groupBy(*scoped, "idx").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(f"_{i}").alias("_k")))).alias("_all"))
+            each = entities[t].select(*scoped, "idx", F.posexplode(x).alias("_pos", "_x")).select(*scoped, "idx", "_pos", *keys)
+            gathered = each.join(target, key, "left").groupBy(*scoped, "idx").agg(F.array_sort(F.collect_list(F.struct("_pos", F.col(f"_{i}").alias("_k")))).alias("_all"))
             gathered = gathered.select(*scoped, "idx", F.transform("_all", lambda y: y["_k"]).alias(f"_{i}"))
             out = out.join(gathered, [*scoped, "idx"], "left")
             columns.append(F.coalesce(F.col(f"_{i}"), F.array().cast("array<int>")).alias(p.column))
