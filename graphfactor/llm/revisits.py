@@ -47,7 +47,8 @@ def resolve(records: DataFrame, bucket: int = BUCKET) -> DataFrame:
             records = records.withColumn(column, F.lit(None).cast("string"))
     t = F.col("fetched").cast("long").alias("t")
     # a response is known by its content, as ids may be repeated or null
-    content = F.xxhash64("record_id", "etag", "last_modified", F.array_sort(F.map_entries("headers")), "body").alias("content")
+    parts = [*map(F.col, ("record_id", "etag", "last_modified", "body")), F.array_sort(F.map_entries("headers"))]
+    content = F.xxhash64(*(x.isNull() for x in parts), F.coalesce(F.size("headers"), F.lit(-1)), *parts).alias("content")
     asked = records.where("kind = 'revisit'").select(canonical_url(F.coalesce("refers_to", "url")).alias("key"), t, F.struct("record_id", "etag", "last_modified", "headers", "profile").alias("row"))
     # bodies stay out of the as-of join and come by content afterwards
     given = records.where("kind = 'response'").select(canonical_url(F.col("url")).alias("key"), t, F.struct("record_id", "etag", "last_modified", content).alias("row"))
