@@ -260,7 +260,8 @@ def test_near_dedup_with_repeated_ids_equals_brute_force(spark):
     assert len(rows) == len(texts) and {(r.doc_id, r.component_id, r.kept) for r in rows} == {(i, g, i == g) for i, g in want.items()}
 
 
-def test_long_documents_with_cut_sketches(spark):
+@pytest.mark.parametrize("k,fine", [(64, 1024), (4096, 4096)])
+def test_long_documents_with_cut_and_whole_sketches(spark, k, fine):
     rnd = random.Random(3)
     texts = []
     for _ in range(4):
@@ -270,10 +271,28 @@ def test_long_documents_with_cut_sketches(spark):
             for _ in range(edits):
                 t[rnd.randrange(len(t))] = f"e{rnd.randrange(10**6)}"
             texts.append(" ".join(t))
-    rows = neardup.groups(table(spark, texts), 3, 85, 100).collect()
+    rows = neardup.groups(table(spark, texts), 3, 85, 100, k, fine).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_groups(texts, range(len(texts)), 3, 85, 100)
 
 
+def test_no_long_pair_near_the_threshold_is_missed(spark):
+    rnd = random.Random(31)
+    texts, alike = [], []
+    for pair in range(150):
+        base = [f"p{pair}x{i}" for i in range(1400 + rnd.randrange(1500))]
+        other = list(base)
+        # m single edits, far apart, change 3 m shingles: similarity (n - 3 m) / (n + 3 m)
+        n = len(base) - 2
+        most = int(n * 15 / 185 / 3)
+        for at in rnd.sample(range(3, len(base) - 3, 4), most + rnd.randrange(-3, 3)):
+            other[at] = "edited"
+        sets = [{tuple(t[i : i + 3]) for i in range(len(t) - 2)} for t in (base, other)]
+        texts += [" ".join(base), " ".join(other)]
+        alike.append(100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1]))
+    rows = neardup.groups(table(spark, texts), 3, 85, 100).collect()
+    assert 20 < sum(alike) < 130 and {r.doc_id: r.component_id for r in rows} == {i: i - i % 2 if alike[i // 2] else i for i in range(300)}
+
+
 @pytest.mark.parametrize("num,k", [(80, 64), (85, 64), (80, 1024), (85, 1024)])
 def test_bounds_of_cut_sketches_miss_no_more_than_they_say(num, k):
     def missed(c):
