@@ -556,29 +556,39 @@ def cycle_typed_keys(spark, d):
     return c["DeedList"].select("root_id", F.col("idx").cast("long").alias("idx"), F.unix_micros("at").alias("at_us"), micros.alias("local_us"), F.col("day").cast("string").alias("day"), "kind", F.col("share").cast("double").alias("share"))
 
 
-@query("select * from (values ('R', 0::bigint, '1,1', false), ('X', 1, '2', true), ('a', 2, '', false)) as t(label, idx, children, lossy)")
+@query(f"""with {_NATION_CUSTOMERS}, f as (select root_id, c_mktsegment as label, count(*) as n, min(idx) as first, arg_min(c_name, idx) as child from c group by root_id, c_mktsegment),
+i as (select *, 2 * row_number() over (partition by root_id order by first) - 1 as idx from f)
+select n_nationkey::bigint as root_id, 0::bigint as idx, n_name as label, coalesce((select string_agg(i.idx::varchar, ',' order by c.idx) from c join i on i.root_id = c.root_id and i.label = c.c_mktsegment where c.root_id = n_nationkey), '') as children, false as lossy from nation
+union all select root_id, idx, label, (idx + 1)::varchar, n > 1 from i union all select root_id, idx + 1, child, '', false from i""")
 def cycle_false_dedup(spark, d):
-    """Two nodes X with different children are one by their key; the second's child is lost, and that is reported."""
-    ship(spark)
-    nodes = spark.createDataFrame([(1, 1, "R", [2, 3]), (1, 2, "X", [4]), (1, 3, "X", [5]), (1, 4, "a", []), (1, 5, "b", [])], "root_id int, oid long, label string, children array<long>")
+    """A tree of a nation, its customers' segments, one node for each customer, and below each a node with the name. Nodes
+    of one segment are one by their key: the names below all but the first are lost, and that is reported."""
+    customers = _members(spark, d).select("root_id", (F.col("oid") * 2).alias("oid"), "name", "c_mktsegment")
+    top = _nations(spark, d, customers).select("root_id", "oid", F.col("name").alias("label"), F.col("customers").alias("children"))
+    middle = customers.select("root_id", "oid", F.col("c_mktsegment").alias("label"), F.array(F.col("oid") + 1).alias("children"))
+    leaves = customers.select("root_id", F.col("oid") + 1, F.col("name"), F.expr("cast(array() as array<bigint>)"))
+    nodes = top.union(middle).union(leaves)
     config = GraphConfig(TypeCatalog({"Node": [simple("label", "string"), many("children", "Node")]}))
     config.normalize_graph("Node")
-    c = _quiet(lambda: normalize_objects({"Node": nodes}, nodes.where("oid = 1").select("root_id", "oid"), config))
+    c = _quiet(lambda: normalize_objects({"Node": nodes}, top.select("root_id", "oid"), config))
     lossy = c.lossy.select("root_id", "idx", F.lit(True).alias("lossy"))
-    return c["NodeList"].join(lossy, ["root_id", "idx"], "left").select("label", F.col("idx").cast("long").alias("idx"), F.concat_ws(",", F.col("childrenIndices").cast("array<string>")).alias("children"), F.coalesce("lossy", F.lit(False)).alias("lossy"))
+    return c["NodeList"].join(lossy, ["root_id", "idx"], "left").select("root_id", F.col("idx").cast("long").alias("idx"), "label", F.concat_ws(",", F.col("childrenIndices").cast("array<string>")).alias("children"), F.coalesce("lossy", F.lit(False)).alias("lossy"))
 
 
-@query("select * from (values ('AList', 0::bigint, 'a2', null::bigint, 1::bigint), ('AList', 1, 'a1', 0, 1), ('BList', 0, 'b1', 0, 1)) as t(list, idx, v, next, root_index)")
+@query(f"""with {_NATION_CUSTOMERS}, k as (select root_id, count(*) as k from c group by root_id)
+select root_id, 'CustomerList' as list, k - 1 - idx as idx, c_name as v, case when idx < k - 1 then idx end as next, k - 1 as root_index from c join k using (root_id)
+union all select root_id, 'StepList', idx, 'after ' || c_name, k - 2 - idx, k - 1 from c join k using (root_id) where idx < k - 1""")
 def root_index(spark, d):
-    """a1 - b1 - a2, root a1: a2 is entered first, so the root is entry 1 of its list."""
-    ship(spark)
-    a = spark.createDataFrame([(1, 1, "a1", 1), (1, 2, "a2", None)], "root_id int, oid long, v string, next long")
-    b = spark.createDataFrame([(1, 1, "b1", 2)], "root_id int, oid long, v string, next long")
-    config = GraphConfig(TypeCatalog({"A": [simple("v", "string"), ref("next", "B")], "B": [simple("v", "string"), ref("next", "A")]}))
-    config.normalize_graph("A")
-    c = _quiet(lambda: normalize_objects({"A": a, "B": b}, a.where("oid = 1").select("root_id", "oid"), config))
+    """The customers of a nation in a row, a step between any two: the last one is entered first, the root last."""
+    customers = _members(spark, d)
+    last = customers.groupBy("root_id").agg(F.max("oid").alias("last"))
+    customers = customers.join(last, "root_id").select("root_id", "oid", F.col("name").alias("v"), F.when(F.col("oid") < F.col("last"), F.col("oid")).alias("next"))
+    steps = customers.where("next is not null").select("root_id", "oid", F.concat(F.lit("after "), "v").alias("v"), (F.col("oid") + 1).alias("next"))
+    config = GraphConfig(TypeCatalog({"Customer": [simple("v", "string"), ref("next", "Step")], "Step": [simple("v", "string"), ref("next", "Customer")]}))
+    config.normalize_graph("Customer")
+    c = _quiet(lambda: normalize_objects({"Customer": customers, "Step": steps}, customers.where("oid = 1").select("root_id", "oid"), config))
     frames = reduce(DataFrame.union, [c[x].select("root_id", F.lit(x).alias("list"), F.col("idx").cast("long").alias("idx"), "v", F.col("nextIndex").cast("long").alias("next")) for x in c])
-    return frames.join(c.roots, "root_id").select("list", "idx", "v", "next", F.col("root_index").cast("long").alias("root_index"))
+    return frames.join(c.roots, "root_id").select("root_id", "list", "idx", "v", "next", F.col("root_index").cast("long").alias("root_index"))
 
 
 @query("""select n_nationkey as root_id, '{"RegionList":[{"r_regionkey":' || r_regionkey || ',"r_name":"' || r_name || '"}],"NationList":[{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","regionIndex":0}]}' as json
