@@ -155,6 +155,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, bits: int = BI
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, bits: int = BITS) -> DataFrame:
     """The rows of docs, with all their columns, in which ``find`` finds nothing."""
     *_, hits = _scanned(docs.select("text"), benchmark, window, bits)
-    found = hits.select("t1", "t2").distinct()
+    # a table of its real size, so that Spark broadcasts it only up to its threshold
+    found = scratch.table(hits.select("t1", "t2").distinct(), "found", 1)
     t1, t2 = _text_key()
     return docs.join(found, (t1 == found.t1) & (t2 == found.t2), "left_anti")
