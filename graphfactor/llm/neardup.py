@@ -258,6 +258,7 @@ def groups(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, k:
     linked = linked.select("c", "component").join(lows, "component").select("c", "low")
     named = classes.select("s1", "s2", "c", "least").join(linked, "c", "left").select("s1", "s2", F.coalesce("low", "least").alias("g"))
     whole = scratch.table(shared.join(named, ["s1", "s2"]).groupBy(F.col("doc_id").alias("d")).agg(F.min("g").alias("whole")), "whole", 1)
+    scratch.settle(docs.sparkSession)
     found = made.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left").join(whole, F.col("doc_id") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("whole", F.when(F.col("n") > 0, F.col("g")), "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import scratch
 from .sample import least_by_hash
 from .scratch import in_batches
 from .text import SPACED, mix, slices, word_hashes, words
@@ -311,7 +312,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = docs.select("doc_id", "text").join(F.broadcast(use), "doc_id").select("doc_id", "label", "text")
     found = rows.transform(in_batches, _rows, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("label", "x")).alias("row"))
     found = sorted((r["doc_id"], r["row"]["label"], r["row"]["x"]) for r in found.collect())
-    return fit(np.array([x for *_, x in found], float).reshape(-1, len(FEATURES)), np.array([y for _, y, _ in found], float))
+    x, y = np.array([x for *_, x in found], float).reshape(-1, len(FEATURES)), np.array([y for _, y, _ in found], float)
+    del found
+    scratch.settle(docs.sparkSession)
+    return fit(x, y)
 
 
 def _scores(model: Model):

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .text import release
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; where it is unset on one machine, as in tests, a temporary one."""
@@ -60,6 +63,13 @@ def drop(*tables: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def settle(spark: SparkSession) -> None:
+    """Let go of finished plans: Spark removes their shuffle files and broadcasts when the driver collects their owners."""
+    gc.collect()
+    release()
+    spark._jvm.System.gc()
+
+
 #: Rows and bytes of the record batches that Python workers get: texts are long, and several copies of a batch exist at once.
 _BATCH = (("spark.sql.execution.arrow.maxRecordsPerBatch", 2000), ("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20))
 

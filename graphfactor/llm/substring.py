@@ -263,6 +263,7 @@ def dedup(docs: DataFrame, window: int = 35, group: int = GROUP) -> DataFrame:
 
     places = scratch.table(factors.union(parsed).union(edges).groupBy("d", "t").agg(F.collect_set("place").alias("places")), "places")
     scratch.drop(seeds, found, index, taken)
+    scratch.settle(docs.sparkSession)
     return rows.join(places, ["d", "t"], "left").select("doc_id", "text", "places").transform(
         in_batches, _cut(window), "doc_id long, kept_text string, spans array<struct<start:long,stop:long>>, n_words long, n_removed long"
     )

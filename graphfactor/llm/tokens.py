@@ -208,14 +208,25 @@ def _sampled(docs: DataFrame, sample: int) -> DataFrame:
     return texts.select(F.explode(taken).alias("piece")).select("piece.*").orderBy("h", "text").limit(sample)
 
 
+def _encoded(tokenizer: str, end_id: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for batch in batches:
+            found = encode.batch([t.encode() for t in batch.column("text").to_pylist()], end_id)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array([_serialized(ids, width) for ids in found], pa.binary())], ["h", "ids"])
+        release()
+
+    return run
+
+
 def train(docs: DataFrame, tokenizer: str, end_id: int, width: int, sample: int = SAMPLE) -> bytes:
     """A zstandard dictionary from the serialized ids of ``sample`` pieces, drawn by hash from all pieces of all texts.
 
     It depends on the rows only, not on their order or files. The dictionary changes how small the files are, not what
-    they hold. Empty (no dictionary) if the corpus is too small to train one.
+    they hold. Empty (no dictionary) if the corpus is too small to train one. The driver sees the pieces' ids only.
     """
-    texts = [r["text"].encode() for r in _sampled(docs, sample).collect()]
-    samples = [_serialized(ids, width) for ids in encoder(tokenizer).batch([t for t in texts if t.strip()], end_id)]
+    found = _sampled(docs, sample).where("trim(text) <> ''").repartition(8).transform(in_batches, _encoded(tokenizer, end_id, width), "h long, ids binary")
+    samples = [ids for _, ids in sorted((r["h"], bytes(r["ids"])) for r in found.collect())]
     if sum(map(len, samples)) < 16 * 1024 or len(samples) < 50:
         return b""
     try:
@@ -234,10 +245,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, level: in
 
     spark = docs.sparkSession
     size = Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
+    release()
     width = 2 if max(size - 1, end_id) < 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     dictionary = train(docs, tokenizer, end_id, width)
     spark.createDataFrame([(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary))], "dict_hash string, dictionary binary").write.parquet(f"{path}/dictionary")
+    scratch.settle(spark)
     ranged = docs.repartitionByRange(F.asc_nulls_first("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.xxhash64("text"))
     ranged.transform(in_batches, _write(tokenizer, dictionary, end_id, width, level), _PACKS).write.parquet(f"{path}/packs")
 
