@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .scratch import in_batches
-from .text import PLAIN, Runs, Spoken, Stretches, signed, slices, stretches, word_hashes, words
+from .text import PART, PLAIN, Runs, Spoken, Stretches, signed, slices, stretches, word_hashes, word_parts
 
 #: Words of a fingerprint's k-gram; at most the window.
 GRAM = 5
@@ -40,29 +40,31 @@ def _text_key() -> list[Column]:
     return [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit("text"), "text").alias("t2")]
 
 
-def _marked(texts: list[bytes], sizes: list[int], of_items: bool, bits: np.ndarray | None) -> tuple[np.ndarray, pa.ListArray]:
+def _marked(texts: list[bytes], sizes: list[int], of_items: bool, bits: np.ndarray | None, limit: int = PART) -> tuple[np.ndarray, pa.ListArray]:
     """Number of words of each text, and its fingerprints with their stretches of windows of the given sizes.
 
     Of items, windows have the last size, and those of shorter items the item's own.
     """
-    w = words(texts, PLAIN, lower=True)
-    runs, owner, spoken = Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts), Spoken(w)
-    docs, rows = [], []
-    for size in sizes:
-        found = stretches(runs, owner, size, min(GRAM, size))
-        if of_items and size < sizes[-1]:
-            found = Stretches(*(x[w.counts[owner[found.first]] == size] for x in found))
-        if bits is not None:
-            top = found.seed >> np.uint64(64 - int(np.log2(64 * len(bits))))
-            found = Stretches(*(x[(bits[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)] for x in found))
-        doc = owner[found.first]
-        docs.append(doc)
-        columns = [pa.array(np.full(len(doc), size, np.int32)), signed(found.seed), pa.array(found.first - w.bounds[doc]), spoken.take(found.first, found.count + size - 1)]
-        rows.append(pa.StructArray.from_arrays(columns, fields=list(_MARK)))
+    docs, rows, counts = [], [], np.zeros(len(texts), np.int64)
+    in_parts = len(texts) == 1 and len(texts[0]) > limit
+    for w, before in word_parts(texts, PLAIN, max(sizes, default=1) - 1, lower=True, limit=limit):
+        runs, owner, spoken = Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts), Spoken(w)
+        counts = before + w.counts
+        for size in sizes:
+            found = stretches(runs, owner, size, min(GRAM, size))
+            if of_items and size < sizes[-1]:
+                found = Stretches(*(x[(w.counts[owner[found.first]] == size) & (not in_parts)] for x in found))
+            if bits is not None:
+                top = found.seed >> np.uint64(64 - int(np.log2(64 * len(bits))))
+                found = Stretches(*(x[(bits[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)] for x in found))
+            doc = owner[found.first]
+            docs.append(doc)
+            columns = [pa.array(np.full(len(doc), size, np.int32)), signed(found.seed), pa.array(found.first - w.bounds[doc] + before), spoken.take(found.first, found.count + size - 1)]
+            rows.append(pa.StructArray.from_arrays(columns, fields=list(_MARK)))
     doc = np.concatenate([*docs, np.empty(0, np.int64)])
     order = np.argsort(doc, kind="stable")
     offsets = np.searchsorted(doc[order], np.arange(len(texts) + 1))
-    return w.counts, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([*rows, pa.array([], _MARK)]).take(pa.array(order)))
+    return counts, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.concat_arrays([*rows, pa.array([], _MARK)]).take(pa.array(order)))
 
 
 def _marks(sizes: list[int], of_items: bool, bits: np.ndarray | None = None):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import scratch
 from .components import components
 from .scratch import in_batches
-from .text import SPACED, Runs, mix, repeated, signed, slices, word_hashes, words
+from .text import PART, SPACED, Runs, mix, repeated, signed, slices, word_hashes, word_parts, words
 
 #: Sizes of the small and the large sketch.
 K, FINE = 64, 1024
@@ -40,8 +40,11 @@ K, FINE = 64, 1024
 MISS = 1e-9
 
 
-def _shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def _shingles(texts: list[bytes], width: int, limit: int = PART) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of each text's distinct shingles, ascending; a text of fewer words is one shingle."""
+    if any(len(t) > limit for t in texts):
+        found = [_in_parts(t, width, limit) if len(t) > limit else _shingles([t], width)[1] for t in texts]
+        return np.repeat(np.arange(len(texts)), [len(x) for x in found]), np.concatenate(found)
     w = words(texts, SPACED, lower=True)
     runs, counts = Runs(word_hashes(w)), w.counts
     owner = np.repeat(np.arange(len(texts)), counts)
@@ -57,6 +60,17 @@ def _shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return doc[new], hashes[new]
 
 
+def _in_parts(text: bytes, width: int, limit: int) -> np.ndarray:
+    """The distinct shingles of one long text, ascending."""
+    found = np.empty(0, np.uint64)
+    for w, before in word_parts([text], SPACED, width - 1, lower=True, limit=limit):
+        runs = Runs(word_hashes(w))
+        # a last part of the overlap alone has no shingle of its own, but a text of few words is one
+        own = runs.every(width) if runs.n >= width or before else runs.at(np.zeros(1, np.int64), runs.n)[: runs.n]
+        found = np.union1d(found, own)
+    return found
+
+
 def _sketches(width: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:

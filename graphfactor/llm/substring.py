@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .scratch import in_batches
-from .text import SPACED, Runs, Spoken, covered, repeated, signed, slices, stretches, word_hashes, words
+from .text import PART, SPACED, Runs, Spoken, covered, repeated, signed, slices, stretches, word_hashes, word_parts, words
 
 #: Words of a seed; at most the window.
 SEED = 10
@@ -40,47 +40,48 @@ GROUP, BLOCK = 4096, 4096
 HOT = 1000
 
 
-def _parsed(texts: list[bytes]):
-    w = words(texts, SPACED)
-    return w, Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts)
-
-
-def _find(window: int):
+def _find(window: int, limit: int = PART):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole):
-                w, runs, owner = _parsed(texts)
-                found = stretches(runs, owner, window, min(SEED, window))
-                doc = owner[found.first]
-                yield pa.RecordBatch.from_arrays(
-                    [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), signed(found.seed), signed(runs.at(found.first, found.count + window - 1)), pa.array((found.first - w.bounds[doc]) << 16 | found.count)],
-                    ["d", "t", "seed", "stretch", "place"],
-                )
+                for w, before in word_parts(texts, SPACED, window - 1, limit=limit):
+                    runs, owner = Runs(word_hashes(w)), np.repeat(np.arange(len(texts)), w.counts)
+                    found = stretches(runs, owner, window, min(SEED, window))
+                    doc = owner[found.first]
+                    place = (found.first - w.bounds[doc] + before) << 16 | found.count
+                    yield pa.RecordBatch.from_arrays(
+                        [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), signed(found.seed), signed(runs.at(found.first, found.count + window - 1)), pa.array(place)],
+                        ["d", "t", "seed", "stretch", "place"],
+                    )
 
     return run
 
 
-def _taken(window: int):
+def _taken(window: int, limit: int = PART):
     """The words of listed stretches, or hashes of the windows of those whose seed is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch, texts in slices(whole):
-                w, runs, _ = _parsed(texts)
-                spoken, listed = Spoken(w), batch.column("listed")
+                listed = batch.column("listed")
                 rows, text_of = listed.flatten(), np.repeat(np.arange(len(texts)), np.diff(listed.offsets.to_numpy()))
                 place, hot = rows.field("place").to_numpy(), rows.field("hot").to_numpy(zero_copy_only=False)
-                count = np.where(hot, place & 0xFFFF, 1)
-                for some in _portions(count, 20_000):
-                    row = np.repeat(some, count[some])
-                    doc, nth = text_of[row], np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
-                    at, n = (place[row] >> 16) + nth, np.where(hot[row], window, (place[row] & 0xFFFF) + window - 1)
-                    key = pa.array(runs.at(at + w.bounds[doc], n).view(np.int64), mask=~hot[row])
-                    said = spoken.take(at + w.bounds[doc], np.where(hot[row], 0, n))
-                    yield pa.RecordBatch.from_arrays(
-                        [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), repeated(rows.field("seed"), row), repeated(rows.field("asked"), row), key, pa.array(at << 16 | np.where(hot[row], 1, place[row] & 0xFFFF)), said],
-                        ["d", "t", "seed", "asked", "window", "place", "words"],
-                    )
+                start, windows = place >> 16, place & 0xFFFF
+                for w, before in word_parts(texts, SPACED, window - 1, limit=limit):
+                    runs, spoken = Runs(word_hashes(w)), Spoken(w)
+                    # a stretch lies in the part in which it was found
+                    here = np.flatnonzero((start >= before) & (start + windows + window - 1 <= before + w.counts[text_of]))
+                    count = np.where(hot, windows, 1)[here]
+                    for some in _portions(count, 20_000):
+                        row = np.repeat(here[some], count[some])
+                        doc, nth = text_of[row], np.arange(len(row)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+                        at, n = start[row] + nth, np.where(hot[row], window, windows[row] + window - 1)
+                        first = at - before + w.bounds[doc]
+                        key = pa.array(runs.at(first, n).view(np.int64), mask=~hot[row])
+                        yield pa.RecordBatch.from_arrays(
+                            [repeated(batch.column("d"), doc), repeated(batch.column("t"), doc), repeated(rows.field("seed"), row), repeated(rows.field("asked"), row), key, pa.array(at << 16 | np.where(hot[row], 1, windows[row])), spoken.take(first, np.where(hot[row], 0, n))],
+                            ["d", "t", "seed", "asked", "window", "place", "words"],
+                        )
 
     return run
 
@@ -189,34 +190,37 @@ def _factors(window: int):
     return run
 
 
-def _cut(window: int):
+def _cut(window: int, limit: int = PART):
+    def cut(text: bytes, places: list[int] | None) -> tuple[bytes, list[dict], int, int]:
+        if not places and len(text) <= limit:
+            all_words = text.split()
+            return b" ".join(all_words), [], len(all_words), 0
+        p = np.array(places or [], np.int64)
+        stops = (p >> 16) + (p & 0xFFFF) - 1 + window
+        gone = covered(p >> 16, stops, int(stops.max(initial=0)))
+        edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+        factors, kept, n = list(zip(edge[::2], edge[1::2], strict=True)), [], 0
+        for w, _ in word_parts([text], SPACED, 0, limit=limit) if len(text) > limit else [(None, 0)]:
+            some = (text if w is None else w.buffer.tobytes()).split()
+            rest, at = [], 0
+            for start, stop in factors:
+                start, stop = max(start - n, 0), min(stop - n, len(some))
+                if start < stop:
+                    rest += some[at:start]
+                    at = stop
+            rest += some[at:]
+            n += len(some)
+            if rest:
+                kept.append(b" ".join(rest))
+        return b" ".join(kept), [{"start": a, "stop": b} for a, b in factors], n, int(gone.sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for whole in batches:
             for batch, texts in slices(whole):
-                kept, spans, n_words, n_removed = [], [], [], []
-                for text, places in zip(texts, batch.column("places").to_pylist(), strict=True):
-                    all_words = text.split()
-                    n_words.append(len(all_words))
-                    if not places:
-                        kept.append(b" ".join(all_words))
-                        spans.append([])
-                        n_removed.append(0)
-                        continue
-                    p = np.array(places)
-                    gone = covered(p >> 16, (p >> 16) + (p & 0xFFFF) - 1 + window, len(all_words))
-                    edge = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
-                    factors = list(zip(edge[::2], edge[1::2], strict=True))
-                    rest, at = [], 0
-                    for start, stop in factors:
-                        rest += all_words[at:start]
-                        at = stop
-                    kept.append(b" ".join(rest + all_words[at:]))
-                    spans.append([{"start": a, "stop": b} for a, b in factors])
-                    n_removed.append(int(gone.sum()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(kept).cast(pa.string()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())],
-                    ["doc_id", "kept_text", "spans", "n_words", "n_removed"],
-                )
+                columns = zip(*map(cut, texts, batch.column("places").to_pylist()), strict=True)
+                arrays = [pa.array(x, kind) for x, kind in zip(columns, (pa.binary(), spans, pa.int64(), pa.int64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays[0].cast(pa.string()), *arrays[1:]], ["doc_id", "kept_text", "spans", "n_words", "n_removed"])
 
     return run
 

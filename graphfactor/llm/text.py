@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import sys
 from collections.abc import Iterator
 from functools import lru_cache
@@ -62,6 +63,10 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return _power_table(base, 1 << max(16, int(n).bit_length()))
 
 
+#: Text bytes beyond which one text's words are taken part by part.
+PART = 4 << 20
+
+
 class Words(NamedTuple):
     buffer: np.ndarray
     starts: np.ndarray
@@ -86,6 +91,33 @@ def words(texts: list[bytes], kept: np.ndarray, lower: bool = False) -> Words:
     return Words(buffer, starts, ends, np.searchsorted(starts, first))
 
 
+_GAPS = {False: re.compile(rb"[\x09-\x0D\x20]"), True: re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")}
+
+
+def word_parts(texts: list[bytes], kept: np.ndarray, overlap: int, lower: bool = False, limit: int = PART) -> Iterator[tuple[Words, int]]:
+    """The words of texts, and 0; of one text beyond ``limit`` bytes, the words of its parts in turn, and how many words
+    stand before the part. A part begins with the last ``overlap`` words of the one before, so that each run of one word
+    more lies in exactly one part."""
+    if len(texts) != 1 or len(texts[0]) <= limit:
+        yield words(texts, kept, lower), 0
+        return
+    text, at, before, size = texts[0], 0, 0, limit
+    while True:
+        gap = _GAPS[kept is PLAIN].search(text, min(at + size, len(text)))
+        stop = gap.start() if gap else len(text)
+        w = words([text[at:stop]], kept, lower)
+        new = len(w.starts) - overlap
+        if stop == len(text):
+            yield w, before
+            return
+        if overlap and new <= 0:
+            size *= 2
+            continue
+        yield w, before
+        at = at + int(w.starts[new]) if overlap else stop
+        before, size = before + new, limit
+
+
 def word_hashes(w: Words) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     out = np.empty(len(w.starts), U)
