@@ -102,26 +102,30 @@ def unpack(data: bytes, least: int, wanted: int) -> np.ndarray:
 
 def _coded(data: bytes) -> list[int]:
     """Greedy LZW of 8-bit samples: a clear code first and whenever the table is full, the end code last."""
-    out, table, free = [256], {}, 258
-    emit, known = out.append, table.get
-    rest = iter(data)
-    text = next(rest, None)
+    out, after, free = [256], [None] * _FULL, 258  # after[code]: the code of its text and one more sample, by sample
+    emit, rest = out.append, iter(data)
+    code = next(rest, None)
+    if code is None:
+        return [256, 257]
+    longer = after[code]
     for sample in rest:
-        longer = known(text << 8 | sample)
-        if longer:
-            text = longer
+        if longer is not None and sample in longer:
+            code = longer[sample]
+            longer = after[code]
             continue
-        emit(text)
-        if free < _FULL:
-            table[text << 8 | sample] = free
-            free += 1
-        else:
+        emit(code)
+        if free == _FULL:
             emit(256)
-            table.clear()
-            free = 258
-        text = sample
-    if text is not None:
-        emit(text)
+            after, free = [None] * _FULL, 258
+        else:
+            if longer is None:
+                after[code] = {sample: free}
+            else:
+                longer[sample] = free
+            free += 1
+        code = sample
+        longer = after[code]
+    emit(code)
     emit(257)
     return out
 
@@ -212,6 +216,11 @@ def decode(data: bytes) -> list[Frame]:
         raise ValueError("the pictures don't fit into memory") from e
 
 
+def _coarse(colours: np.ndarray) -> np.ndarray:
+    """The two upper bits of red, green and blue."""
+    return (colours[:, 0] >> 6 << 4) | (colours[:, 1] >> 6 << 2) | colours[:, 2] >> 6
+
+
 def _decode(data: bytes) -> list[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
@@ -265,14 +274,16 @@ def _decode(data: bytes) -> list[Frame]:
             raise ValueError("a colour outside the palette")
         before = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
-        if clear is None:
-            area[...] = colours[index]
-        else:
-            seen = index != clear
-            area[seen] = colours[index[seen]]
-        grey = bool((area[..., 0] == area[..., 1]).all() and (area[..., 1] == area[..., 2]).all())
-        coarse = (area[..., 0] >> 6 << 4) | (area[..., 1] >> 6 << 2) | area[..., 2] >> 6
-        frames.append(Frame(len(frames), delay * 10, left, top, w, h, 1 if grey else 3, np.ascontiguousarray(area[..., 0] if grey else area).tobytes(), np.bincount(coarse.ravel(), minlength=64).tolist()))
+        painted, used, under = colours[index], np.bincount(index.ravel(), minlength=len(colours)), area[:0, 0]
+        if clear is not None and clear < len(colours) and used[clear]:
+            unseen = index == clear
+            under, used[clear] = area[unseen], 0
+            painted[unseen] = under
+        area[...] = painted
+        shown = np.concatenate([colours[used > 0], under])
+        grey = bool((shown == shown[:, :1]).all())
+        histogram = np.bincount(_coarse(colours), used, 64).astype(np.int64) + np.bincount(_coarse(under), minlength=64)
+        frames.append(Frame(len(frames), delay * 10, left, top, w, h, 1 if grey else 3, np.ascontiguousarray(painted[..., 0] if grey else painted).tobytes(), histogram.tolist()))
         if disposal == 2:
             area[...] = 0
         elif before is not None:
