@@ -490,9 +490,9 @@ _NATION_LIST = """select n_nationkey::bigint as root_id, 'NationList' as list, 0
 
 @query(f"with {_NATION_CUSTOMERS} {_NATION_LIST} union all select root_id, 'CustomerList', idx, c_name, '0' from c")
 def mutual_cycle(spark, d):
-    """A nation has customers, and each customer has its nation."""
+    """A nation has customers, told apart by their keys, and each customer has its nation."""
     customers = _members(spark, d).withColumn("nation", F.lit(1).cast("long"))
-    types = {"Nation": [simple("name", "string"), many("customers", "Customer")], "Customer": [simple("name", "string"), ref("nation", "Nation")]}
+    types = {"Nation": [simple("name", "string"), many("customers", "Customer")], "Customer": [simple("c_custkey", "bigint"), simple("name", "string"), ref("nation", "Nation")]}
     return _nation_cycle({"Nation": _nations(spark, d, customers), "Customer": customers}, types)
 
 

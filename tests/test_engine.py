@@ -14,13 +14,14 @@ from sequential import Sequential
 from graphfactor.container import Container
 from graphfactor.functions import naming
 from graphfactor.operators.context import EntityContext
-from graphfactor.operators.cycles import denormalize_objects, expand, normalize_objects
+from graphfactor.operators.cycles import _Pass, _Plan, denormalize_objects, expand, normalize_objects
 from graphfactor.operators.denormalize import denormalize
 from graphfactor.operators.normalize import normalize
 from graphfactor.operators.stats import dedup_stats
 from graphfactor.plans.analyze import analyze
 from graphfactor.plans.catalog import PropertyMode, PropKind, TypeCatalog, many, ref, simple
 from graphfactor.plans.config import ConfigError, GraphConfig
+from graphfactor.queries import mutual_cycle
 from graphfactor.sources.shared import shared_path
 from graphfactor.sources.store import read_container, write_container, write_json
 from graphfactor.streaming.stream import factor_stream
@@ -405,6 +406,27 @@ def test_random_cyclic_graphs_equal_sequential_factoring(spark, name):
             assert [x for _, x in sorted(found.get(i, {}).items())] == lists[t], (t, i)
 
 
+@pytest.mark.parametrize("key_mode", ["exclude", "oid"])
+def test_members_that_lead_back_are_followed_once_each(monkeypatch, key_mode):
+    n, visits, visit = 300, [], _Pass._visit
+    monkeypatch.setattr(_Pass, "_visit", lambda self, *me: visits.append(me) or visit(self, *me))
+    # A team has groups and guests, a group has members, and members and guests have the team.
+    plans = [_Plan([1, 2], [True, True], [0, 1], [], [False] * 2, True), _Plan([2], [True], [0], [], [False], True), _Plan([0], [False], [], [0], [False], True)]
+    links = {(0, 0): [list(range(n // 10)), list(range(n, 2 * n))]} | {(1, i): [list(range(10 * i, 10 * i + 10))] for i in range(n // 10)} | {(2, i): [[0]] for i in range(2 * n)}
+    work = _Pass(plans, key_mode, "error", {x: str(x) for x in links}, links, set(), False)
+    assert work.enter(0, 0) == 0 and not work.lossy
+    assert sorted(work.rows) == [(0, 0, 0, links[0, 0])] + [(1, i, i, links[1, i]) for i in range(n // 10)] + [(2, i, i, [[0]]) for i in range(2 * n)]
+    assert len(visits) < 8 * n
+
+
+def test_customers_of_one_name_in_a_mutual_cycle(spark, tmp_path):
+    spark.createDataFrame([(k, "same" if k % 2 else f"n{k}", k % 2) for k in range(12)], "c_custkey long, c_name string, c_nationkey int").withColumn("c_mktsegment", F.lit("")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    lists = [(x, "NationList", 0, "ABC"[x], "0,1,2,3,4,5" if x < 2 else "") for x in range(3)]
+    members = [(k % 2, "CustomerList", k // 2, "same" if k % 2 else f"n{k}", "0") for k in range(12)]
+    assert sorted(tuple(r) for r in mutual_cycle(spark, str(tmp_path)).collect()) == sorted(lists + members)
+
+
 def nearby(kind, rnd):
     """Values of a type, of which some are equal and some differ in their last digit only."""
     micros = lambda: dt.timedelta(microseconds=rnd.randrange(3), milliseconds=rnd.randrange(2))
